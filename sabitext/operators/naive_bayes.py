@@ -45,10 +45,12 @@ def normalized(text: Column, nfc: bool = True) -> Column:
 def char_ngrams(text: Column, sizes: int = SIZES) -> Column:
     """L2: every n-gram of 1 to `sizes` characters, as often as it occurs."""
     chars = F.filter(F.split(text, ""), lambda c: c != "")
-    parts = [chars]
-    for n in range(2, sizes + 1):
-        parts.append(F.filter(F.transform(chars, lambda c, i, n=n: F.concat(c, *[F.get(chars, i + k) for k in range(1, n)])), lambda g: g.isNotNull()))
-    return F.concat(*parts)
+
+    def of_size(n: int) -> Column:
+        joined = F.transform(chars, lambda c, i: F.concat(c, *[F.get(chars, i + k) for k in range(1, n)]))
+        return F.filter(joined, lambda g: g.isNotNull())
+
+    return F.concat(chars, *map(of_size, range(2, sizes + 1)))
 
 
 def script_features(text: Column) -> Column:

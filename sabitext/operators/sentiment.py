@@ -21,10 +21,12 @@ def word_ngrams(text: Column, sizes: int = SIZES, nfc: bool = True, least_chars:
     """All words, then all pairs, and so on. Combining marks end a word."""
     low = F.lower(text)
     words = F.regexp_extract_all(normalize_unicode(low) if nfc else low, F.lit(f"[{WORD}]{{{least_chars},}}" if least_chars > 1 else f"[{WORD}]+"), 0)
-    parts = [words]
-    for n in range(2, sizes + 1):
-        parts.append(F.filter(F.transform(words, lambda w, i, n=n: F.when(i <= F.size(words) - n, F.concat_ws(" ", w, *[F.get(words, i + k) for k in range(1, n)]))), lambda g: g.isNotNull()))
-    return F.concat(*parts)
+
+    def of_size(n: int) -> Column:
+        joined = F.transform(words, lambda w, i: F.when(i <= F.size(words) - n, F.concat_ws(" ", w, *[F.get(words, i + k) for k in range(1, n)])))
+        return F.filter(joined, lambda g: g.isNotNull())
+
+    return F.concat(words, *map(of_size, range(2, sizes + 1)))
 
 
 def tfidf(docs: DataFrame, id_col: str, text_col: str, vocab: DataFrame, nfc: bool = True, least_chars: int = 1) -> DataFrame:

@@ -144,47 +144,54 @@ class Benchmark:
             found.append(np.stack([of_key, low], 1))
         cand = np.unique(np.concatenate(found), axis=0)
         out = []
-        for w, low in cand:
-            k = int(self.budget[w])
-            a, b = max(0, low - k), min(len(flat.chars), low + 2 * (k + 1) + k + self.length[w])
-            got = banded(self.window[w], flat.chars[a:b], k)
-            if got:
-                edits, s, e = got
-                s, e = s + a, e + a
-                row = int(np.searchsorted(flat.begin, s, "right")) - 1
-                out.append((row, self.item[w], int(flat.place[s]), int(flat.place[e - 1]) + 1, edits))
+        for m in np.unique(self.length[cand[:, 0]]):
+            same = cand[self.length[cand[:, 0]] == m]
+            for part in np.array_split(same, -(-len(same) // 4096)):
+                k = int(m * BUDGET)
+                a = np.maximum(part[:, 1] - k, 0)
+                b = np.minimum(part[:, 1] + 3 * k + 2 + m, len(flat.chars))
+                grid = np.minimum(a[:, None] + np.arange(int((b - a).max())), len(flat.chars) - 1)
+                edits, s, e = banded(np.stack([self.window[w] for w in part[:, 0]]), flat.chars[grid], b - a, k)
+                found = np.flatnonzero((edits <= k) & (e > s))
+                s, e = (s + a)[found], (e + a)[found]
+                row = np.searchsorted(flat.begin, s, "right") - 1
+                whole = row == np.searchsorted(flat.begin, e - 1, "right") - 1
+                whole &= flat.chars[s] != 0
+                out += [(int(r), self.item[w], int(flat.place[x]), int(flat.place[y - 1]) + 1, int(d)) for r, w, x, y, d in zip(row[whole], part[found[whole], 0], s[whole], e[whole], edits[found[whole]])]
         return out
 
 
-def banded(pattern: np.ndarray, text: np.ndarray, k: int) -> tuple[int, int, int] | None:
-    """Least edits (at most k) between pattern and any stretch of text, and that stretch; the first such end, then its longest stretch. Only diagonals of the text given are filled."""
-    m, width = len(pattern), max(1, len(text) - len(pattern) + 2 * k + 1)
+def banded(pattern: np.ndarray, text: np.ndarray, length: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of patterns: least edits against any stretch of the row's text (of so many characters), and that stretch; the first such end, then its longest stretch. Only diagonals of the band are filled, and only edits up to k are meant."""
+    n, m = pattern.shape
+    width, big = max(1, text.shape[1] - m + 2 * k + 1), np.int32(1 << 20)
     # cell (i, d): edits of pattern[:i] against a stretch ending at text[i + d - k]; d runs over the band
-    big = 1 << 20
-    d = np.arange(width)
-    end0 = d - k
-    cost = np.where((end0 >= 0) & (end0 <= len(text)), 0, big)
-    start = end0.copy()
+    chars = np.zeros((n, max(k + 1 + text.shape[1], m + width + 1)), text.dtype)
+    chars[:, k + 1 : k + 1 + text.shape[1]] = np.where(np.arange(text.shape[1]) < length[:, None], text, 0)
+    d = np.arange(width, dtype=np.int32)
+    last = length.astype(np.int32)[:, None]
+    cost = np.where((d - k >= 0) & (d - k <= last), np.int32(0), big)
+    start = np.broadcast_to(d - np.int32(k), (n, width)).copy()
     for i in range(1, m + 1):
-        end = i + d - k
-        inside = (end >= 1) & (end <= len(text))
-        same = np.zeros(width, bool)
-        same[inside] = (text[end[inside] - 1] == pattern[i - 1]) & (text[end[inside] - 1] != 0)
-        step = np.where(inside, cost + ~same, big)  # match or change
-        s = start.copy()
-        gap = np.r_[cost[1:], big] + 1  # a pattern character without partner
-        gap = np.where((end >= 0) & (end <= len(text)), gap, big)
-        s = np.where(gap < step, np.r_[start[1:], 0], s)
-        step = np.minimum(step, gap)
-        run = np.minimum.accumulate(step - d)  # text characters without partner
-        src = np.maximum.accumulate(np.where(step - d == run, d, 0))
-        cost, start = np.where((end >= 0) & (end <= len(text)), run + d, big), s[src]
-    best = int(cost.min())
-    if best > k:
-        return None
-    d = int(np.argmin(cost))
-    a, b = int(start[d]), m + d - k
-    return (best, a, b) if b > a and not (text[a:b] == 0).any() else None
+        end = d + np.int32(i - k)
+        there = (end >= 0) & (end <= last)
+        c = chars[:, i : i + width]
+        step = np.where((c == pattern[:, i - 1 : i]) & (c != 0), cost, cost + np.int32(1))  # match or change
+        step[:, end < 1] = big
+        gap = np.full_like(cost, big)  # a pattern character without partner
+        gap[:, :-1] = cost[:, 1:] + np.int32(1)
+        above = gap < step
+        s = start
+        s[:, :-1] = np.where(above[:, :-1], start[:, 1:], start[:, :-1])
+        np.minimum(step, gap, out=step)
+        step -= d
+        run = np.minimum.accumulate(step, axis=1)  # text characters without partner
+        src = np.maximum.accumulate(np.where(step == run, d, np.int32(0)), axis=1)
+        cost = np.where(there, run + d, big)
+        start = np.take_along_axis(s, src, 1)
+    at = cost.argmin(1)
+    rows = np.arange(n)
+    return cost[rows, at], start[rows, at].astype(np.int64), at + m - k
 
 
 def parts(benchmark: DataFrame) -> list[Benchmark]:

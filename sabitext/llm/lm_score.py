@@ -5,7 +5,7 @@
 
 The relations are n-gram counts and exploded n-grams. Both are partitioned by
 the n-gram's hash, joined there, and the logarithms are summed for each
-document. Rows travel packed, many in one binary column:
+document. Rows travel packed, many in one binary column, sorted hashes as gaps:
 
 1. Words are hashed once. A slice (some MB of whole documents) is written with
    its distinct words and, for each token, which of them it is.
@@ -17,6 +17,8 @@ document. Rows travel packed, many in one binary column:
 4. Slices and answers meet by slice; there each token has its counts, and
    each document its sum.
 
+Hashes are told apart by BITS bits, those of the bucket among them.
+
 Words are runs of ASCII letters and digits and of characters beyond ASCII, in
 lower case (ASCII and Latin-1). No n-gram crosses a document's borders; the
 first words of a document have shorter contexts. N-grams that the corpus has
@@ -40,12 +42,29 @@ from pyspark.sql import functions as F
 from . import common as C
 
 ORDER, LEAST, BACKOFF = 3, 2, 0.4
-PACK_BYTES = 4 << 20
+PACK_BYTES, BITS, SPREAD = 8 << 20, 56, 4
 _STEP = C.U64(0x9E3779B97F4A7C15)
 _SCHEMA = "slice bigint, ids binary, sizes binary, words binary, tokens binary, n_tokens bigint"
 _NO_ID = np.iinfo(np.int64).min
 
 
+def packed(a: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, in as many bytes each as the largest needs, plane by plane, compressed."""
+    width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
+    planes = np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return (len(a) << 8 | width).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    """What packed() was given, as uint64."""
+    head = int.from_bytes(raw[:8], "little")
+    n, width = head >> 8, head & 255
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, :width] = np.frombuffer(pa.decompress(raw[8:], n * width, "zstd", asbytes=True), np.uint8).reshape(width, n).T
+    return out.view("<u8").ravel()
+
+
 def _binary(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary())
 
@@ -55,8 +74,11 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def slice_of(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         ids, sizes, hashes = (np.concatenate(x) for x in zip(*held))
-        words, tokens = np.unique(hashes, return_inverse=True)
-        return pa.record_batch([pa.array([part << 32 | n]), _binary([ids.tobytes()]), _binary([sizes.astype(np.uint32).tobytes()]), _binary([words.tobytes()]), _binary([tokens.astype(np.uint32).tobytes()]), pa.array([len(tokens)])], ["slice", "ids", "sizes", "words", "tokens", "n_tokens"])
+        words, tokens, times = np.unique(hashes, return_inverse=True, return_counts=True)
+        often = np.argsort(-times, kind="stable")  # frequent words get small numbers
+        rank = np.empty_like(often)
+        rank[often] = np.arange(len(often))
+        return pa.record_batch([pa.array([part << 32 | n]), _binary([ids.tobytes()]), _binary([packed(sizes)]), _binary([words[often].tobytes()]), _binary([packed(rank[tokens])]), pa.array([len(tokens)])], ["slice", "ids", "sizes", "words", "tokens", "n_tokens"])
 
     held, bytes_ = [], 0
     for batch in batches:
@@ -76,8 +98,8 @@ class _Slice:
     """One slice, unpacked. grams[k - 1] has the hash of the n-gram of order k that ends at each token."""
 
     def __init__(self, sizes: bytes, words: bytes, tokens: bytes, order: int) -> None:
-        self.sizes = np.frombuffer(sizes, np.uint32).astype(np.int64)
-        h = np.frombuffer(words, np.uint64)[np.frombuffer(tokens, np.uint32)] if tokens else np.zeros(0, np.uint64)
+        self.sizes = unpacked(sizes).astype(np.int64)
+        h = np.frombuffer(words, np.uint64)[unpacked(tokens).astype(np.int64)]
         self.place = np.arange(len(h)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
         self.ends, grams = [], []
         code = h
@@ -91,12 +113,12 @@ class _Slice:
 
 
 def _bucket_of(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket, by ranges of the hash, and 48 bits that tell hashes of one bucket apart."""
+    """Bucket, by ranges of the hash, and the bits that tell hashes of one bucket apart; both grow with the hash."""
     high, low = hashes >> C.U64(32), hashes & C.U64(0xFFFFFFFF)
     n = C.U64(buckets)
     total = high * n + ((low * n) >> C.U64(32))
     rest = ((total & C.U64(0xFFFFFFFF)) << C.U64(32)) | ((low * n) & C.U64(0xFFFFFFFF))
-    return (total >> C.U64(32)).astype(np.int64), rest >> C.U64(16)
+    return (total >> C.U64(32)).astype(np.int64), rest >> C.U64(64 - BITS + buckets.bit_length() - 1)
 
 
 def _asker(buckets: int, order: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -110,36 +132,29 @@ def _asker(buckets: int, order: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
                 bucket, rest = _bucket_of(gram, buckets)
                 starts = C.row_starts(bucket)
                 ends = np.r_[starts[1:], len(bucket)]
-                six = np.ascontiguousarray(rest.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
-                many = count.astype(np.uint32)
-                yield pa.record_batch([pa.array(bucket[starts].astype(np.int32)), pa.array([batch.column("slice")[row].as_py()] * len(starts)), _binary([six[a:b].tobytes() for a, b in zip(starts, ends)]), _binary([many[a:b].tobytes() for a, b in zip(starts, ends)])], ["bucket", "slice", "grams", "counts"])
+                yield pa.record_batch([pa.array(bucket[starts].astype(np.int32)), pa.array([batch.column("slice")[row].as_py()] * len(starts)), _binary([packed(np.diff(rest[a:b], prepend=C.U64(0))) for a, b in zip(starts, ends)]), _binary([packed(count[a:b]) for a, b in zip(starts, ends)])], ["bucket", "slice", "grams", "counts"])
 
     return run
 
 
-def _answerer(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in C.Runs("bucket", 1).of(batches):
-            bucket = table.column("bucket").to_numpy()
-            starts = C.row_starts(bucket)
-            for a, b in zip(starts, np.r_[starts[1:], len(bucket)]):
-                part = table.slice(a, b - a)
-                body, at = C.flat(part.column("grams"))
-                wide = np.zeros((len(body) // 6, 8), np.uint8)
-                wide[:, :6] = body.reshape(-1, 6)
-                gram = wide.view("<u8").ravel()
-                count = C.flat(part.column("counts"))[0].view(np.uint32)
-                order = np.argsort(gram)
-                sorted_ = gram[order]
-                first = C.row_starts(sorted_)
-                total = np.add.reduceat(count[order].astype(np.int64), first)
-                answer = np.empty(len(gram), np.int64)
-                answer[order] = np.repeat(total, np.diff(np.r_[first, len(gram)]))
-                answer = np.minimum(answer, 0xFFFFFFFF).astype(np.uint32)
-                cuts = at // 6
-                yield pa.record_batch([part.column("slice").combine_chunks(), pa.array([int(bucket[a])] * (b - a), pa.int32()), _binary([answer[s:e].tobytes() for s, e in zip(cuts[:-1], cuts[1:])])], ["slice", "bucket", "counts"])
-
-    return run
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for table in C.Runs("bucket", 1).of(batches):
+        bucket = table.column("bucket").to_numpy()
+        starts = C.row_starts(bucket)
+        for a, b in zip(starts, np.r_[starts[1:], len(bucket)]):
+            part = table.slice(a, b - a)
+            grams = [np.cumsum(unpacked(x)) for x in part.column("grams").to_pylist()]
+            cuts = np.cumsum([0, *map(len, grams)])
+            gram = np.concatenate(grams)
+            count = np.concatenate([unpacked(x) for x in part.column("counts").to_pylist()])
+            del grams
+            order = np.argsort(gram)
+            sorted_ = gram[order]
+            first = C.row_starts(sorted_)
+            total = np.add.reduceat(count[order].astype(np.int64), first)
+            answer = np.empty(len(gram), np.int64)
+            answer[order] = np.repeat(total, np.diff(np.r_[first, len(gram)]))
+            yield pa.record_batch([part.column("slice").combine_chunks(), pa.array([int(bucket[a])] * (b - a), pa.int32()), _binary([packed(answer[s:e]) for s, e in zip(cuts[:-1], cuts[1:])])], ["slice", "bucket", "counts"])
 
 
 def log_scores(counts: list[np.ndarray], place: np.ndarray, total: int, least: int = LEAST, backoff: float = BACKOFF) -> np.ndarray:
@@ -160,7 +175,7 @@ def _scorer(total: int, order: int, least: int, backoff: float) -> Callable[[Ite
             for a, b in zip(starts, np.r_[starts[1:], len(name)]):
                 head = table.slice(a, 1).to_pylist()[0]
                 sl = _Slice(head["sizes"], head["words"], head["tokens"], order)
-                answers = C.flat(table.column("counts").slice(a + 1, b - a - 1))[0].view(np.uint32).astype(np.int64)
+                answers = np.concatenate([np.zeros(0, np.int64), *(unpacked(x).astype(np.int64) for x in table.column("counts").slice(a + 1, b - a - 1).to_pylist())])
                 _, which = np.unique(sl.grams, return_inverse=True)
                 each, counts, begin = answers[which], [], 0
                 for at in sl.ends:
@@ -185,12 +200,13 @@ def scored(docs: DataFrame, order: int = ORDER, least: int = LEAST, backoff: flo
     texts = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"))
     slices = C.written(texts.mapInArrow(_pack, _SCHEMA), "slices")
     total = slices.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = SPREAD * tasks
     asked = slices.select("slice", "sizes", "words", "tokens").mapInArrow(_asker(buckets, order), "bucket int, slice bigint, grams binary, counts binary")
-    answered = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_answerer(least), "slice bigint, bucket int, counts binary")
+    answered = asked.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "slice bigint, bucket int, counts binary")
     none = F.lit(None).cast("binary")
     both = slices.select("slice", F.lit(-1).alias("bucket"), "ids", "sizes", "words", "tokens", none.alias("counts")).union(answered.select("slice", "bucket", none, none, none, none, "counts"))
-    met = both.repartition(buckets, "slice").sortWithinPartitions("slice", "bucket")
+    met = both.repartition(tasks, "slice").sortWithinPartitions("slice", "bucket")
     return met.mapInArrow(_scorer(total, order, least, backoff), "doc_id bigint, n_tokens bigint, log_score double, mean_log_score double")
 
 

@@ -7,7 +7,7 @@ and streaming DataFrames. They can be called from SQL after register(spark).
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,6 +31,11 @@ def _literal(mask: str) -> str:
     return re.sub(r"([\\$])", r"\\\1", mask)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once for a row, however often body's lambda functions use it."""
+    return F.transform(F.array(value), body)[0]
+
+
 # --- diacritics
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.normalize import normalize_unicode
-from ..functions.text import squeeze, words_of
+from ..functions.text import let, squeeze, words_of
 from ..shared import written
 
 LANGUAGES = ("yor", "hau", "ibo", "pcm", "eng")
@@ -37,20 +37,27 @@ PCM_PHRASES = tuple(
 )
 
 
-def normalized(text: Column, nfc: bool = True) -> Column:
-    """L1: NFC, lower case, single blanks. nfc=False where texts are known to be in NFC."""
-    return squeeze(F.lower(normalize_unicode(text) if nfc else text))
+def normalized(text: Column) -> Column:
+    """L1, of a text in NFC: lower case, single blanks."""
+    return squeeze(F.lower(text))
+
+
+def in_nfc(docs: DataFrame, text_col: str, nfc: bool) -> DataFrame:
+    """docs with the column _text, brought to NFC. A column of its own, since lambda functions can't hold a Python UDF."""
+    return docs.withColumn("_text", normalize_unicode(docs[text_col]) if nfc else docs[text_col])
 
 
 def char_ngrams(text: Column, sizes: int = SIZES) -> Column:
     """L2: every n-gram of 1 to `sizes` characters, as often as it occurs."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
 
-    def of_size(n: int) -> Column:
-        joined = F.transform(chars, lambda c, i: F.concat(c, *[F.get(chars, i + k) for k in range(1, n)]))
-        return F.filter(joined, lambda g: g.isNotNull())
+    def all_sizes(chars: Column) -> Column:
+        def of_size(n: int) -> Column:
+            joined = F.transform(chars, lambda c, i: F.concat(c, *[F.get(chars, i + k) for k in range(1, n)]))
+            return F.filter(joined, lambda g: g.isNotNull())
+
+        return F.concat(chars, *map(of_size, range(2, sizes + 1)))
 
-    return F.concat(chars, *map(of_size, range(2, sizes + 1)))
+    return let(F.filter(F.split(text, ""), lambda c: c != ""), all_sizes)
 
 
 def script_features(text: Column) -> Column:
@@ -68,10 +75,10 @@ def has_pidgin(text: Column) -> Column:
     return F.exists(script_features(text), lambda x: x.f.startswith("__FEAT_PCM"))
 
 
-def features(text: Column, nfc: bool = True) -> Column:
-    """Array of (feature, weight); n-grams weigh 1 each time."""
-    grams = F.transform(char_ngrams(normalized(text, nfc)), lambda g: F.struct(g.alias("f"), F.lit(1).alias("w")))
-    return F.concat(grams, script_features(normalize_unicode(text) if nfc else text))
+def features(text: Column) -> Column:
+    """L6, of a text in NFC: array of (feature, weight); n-grams weigh 1 each time."""
+    grams = F.transform(char_ngrams(normalized(text)), lambda g: F.struct(g.alias("f"), F.lit(1).alias("w")))
+    return F.concat(grams, script_features(text))
 
 
 @dataclass
@@ -86,12 +93,11 @@ class NaiveBayes:
 
     def scores(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """(id, scores): log posteriors in the order of labels. NULL texts have NULL, blank ones their priors."""
-        rows = docs.select(docs[id_col].alias("_id"), F.when(docs[text_col].isNotNull(), features(docs[text_col], self.nfc)).alias("_x"))
-        rows = rows.select("_id", F.aggregate("_x", F.lit(0).cast("bigint"), lambda a, x: a + x.w).alias("_n"), F.explode_outer("_x").alias("_x")).select("_id", "_n", "_x.f", "_x.w")
-        met = rows.join(self.table, rows["f"] == self.table["feature"], "left")
-        sums = met.groupBy("_id").agg(F.first("_n").alias("_n"), *[F.coalesce(F.sum(F.col("w") * F.col(f"d{k}")), F.lit(0.0)).alias(f"s{k}") for k in range(len(self.labels))])
+        rows = in_nfc(docs, text_col, self.nfc).select(docs[id_col].alias("_id"), F.col("_text").isNotNull().alias("_known"), F.explode_outer(features(F.col("_text"))).alias("_x"))
+        met = rows.select("_id", "_known", "_x.f", "_x.w").join(self.table, F.col("f") == F.col("feature"), "left")
+        sums = met.groupBy("_id", "_known").agg(F.coalesce(F.sum("w"), F.lit(0)).alias("_n"), *[F.coalesce(F.sum(F.col("w") * F.col(f"d{k}")), F.lit(0.0)).alias(f"s{k}") for k in range(len(self.labels))])
         each = [F.lit(p) + F.col("_n") * F.lit(d) + F.col(f"s{k}") for k, (p, d) in enumerate(zip(self.priors, self.defaults))]
-        return sums.select(F.col("_id").alias(id_col), F.when(F.col("_n").isNotNull(), F.array(*each)).alias("scores"))
+        return sums.select(F.col("_id").alias(id_col), F.when(F.col("_known"), F.array(*each)).alias("scores"))
 
     def _ranked(self) -> Column:
         """Labels by score, ties in their order."""
@@ -133,7 +139,8 @@ class NaiveBayes:
 
 def fit(docs: DataFrame, text_col: str, label_col: str, labels: list[str] | None = None, uniform: bool = True, alpha: float = ALPHA, nfc: bool = True) -> NaiveBayes:
     """L7. Denominators count all features, also those pruned for being seen fewer than LEAST times; labels default to sorted order."""
-    rows = docs.where(docs[text_col].isNotNull() & docs[label_col].isNotNull()).select(docs[label_col].alias("label"), features(docs[text_col], nfc).alias("x"))
+    known = docs.where(docs[text_col].isNotNull() & docs[label_col].isNotNull())
+    rows = in_nfc(known, text_col, nfc).select(known[label_col].alias("label"), features(F.col("_text")).alias("x"))
     counts = written(rows.select("label", F.explode("x").alias("x")).groupBy("label", F.col("x.f").alias("feature")).agg(F.sum("x.w").alias("n")), "nb-counts")
     seen = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     labels = [x for x in labels if x in seen] if labels else sorted(seen)

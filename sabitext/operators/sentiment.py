@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.chars import WORD
 from ..functions.normalize import normalize_unicode
-from ..functions.text import squeeze
+from ..functions.text import let, squeeze
 from ..shared import written
 
 LABELS = ("positive", "neutral", "negative")
@@ -17,21 +17,28 @@ BLANK = (0.33, 0.34, 0.33)
 MOST_TERMS, LEAST_DF, MOST_DF, SIZES = 50_000, 3, 0.95, 2
 
 
-def word_ngrams(text: Column, sizes: int = SIZES, nfc: bool = True, least_chars: int = 1) -> Column:
-    """All words, then all pairs, and so on. Combining marks end a word."""
-    low = F.lower(text)
-    words = F.regexp_extract_all(normalize_unicode(low) if nfc else low, F.lit(f"[{WORD}]{{{least_chars},}}" if least_chars > 1 else f"[{WORD}]+"), 0)
+def lowered(docs: DataFrame, text_col: str, nfc: bool) -> DataFrame:
+    """docs with the column _low, in lower case and NFC. A column of its own, since lambda functions can't hold a Python UDF."""
+    low = F.lower(docs[text_col])
+    return docs.withColumn("_low", normalize_unicode(low) if nfc else low)
 
-    def of_size(n: int) -> Column:
-        joined = F.transform(words, lambda w, i: F.when(i <= F.size(words) - n, F.concat_ws(" ", w, *[F.get(words, i + k) for k in range(1, n)])))
-        return F.filter(joined, lambda g: g.isNotNull())
 
-    return F.concat(words, *map(of_size, range(2, sizes + 1)))
+def word_ngrams(low: Column, sizes: int = SIZES, least_chars: int = 1) -> Column:
+    """All words, then all pairs, and so on, of a text in lower case. Combining marks end a word."""
+
+    def all_sizes(words: Column) -> Column:
+        def of_size(n: int) -> Column:
+            joined = F.transform(words, lambda w, i: F.concat(w, *[F.concat(F.lit(" "), F.get(words, i + k)) for k in range(1, n)]))
+            return F.filter(joined, lambda g: g.isNotNull())
+
+        return F.concat(words, *map(of_size, range(2, sizes + 1)))
+
+    return let(F.regexp_extract_all(low, F.lit(f"[{WORD}]{{{least_chars},}}" if least_chars > 1 else f"[{WORD}]+"), 0), all_sizes)
 
 
 def tfidf(docs: DataFrame, id_col: str, text_col: str, vocab: DataFrame, nfc: bool = True, least_chars: int = 1) -> DataFrame:
     """(id, term, weight): (1 + ln tf) * idf, each text's weights of length 1; only terms of vocab(term, idf, ...)."""
-    rows = docs.select(docs[id_col].alias("_id"), F.explode(word_ngrams(docs[text_col], nfc=nfc, least_chars=least_chars)).alias("_term"))
+    rows = lowered(docs, text_col, nfc).select(docs[id_col].alias("_id"), F.explode(word_ngrams(F.col("_low"), least_chars=least_chars)).alias("_term"))
     met = rows.join(vocab.select("term", "idf"), F.col("_term") == F.col("term")).groupBy("_id", "term").agg(((1 + F.log(F.count("*"))) * F.first("idf")).alias("w"))
     norm = met.groupBy(F.col("_id").alias("_n")).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return met.join(norm, F.col("_id").eqNullSafe(F.col("_n"))).select(F.col("_id").alias(id_col), "term", (F.col("w") / F.col("norm")).alias("weight"))
@@ -49,8 +56,7 @@ class SentimentModel:
     def analyze(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """(id, label, confidence, one column for each label), rounded to 4 places. Blank texts are neutral by rule, NULL ones NULL; the first of equal labels wins."""
         k = len(self.labels)
-        rows = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"), F.explode_outer(word_ngrams(docs[text_col], nfc=self.nfc)).alias("_term"))
-        rows = rows.withColumn("_state", F.when(F.col("_text").isNull(), "null").when(squeeze(F.col("_text")) == "", "blank").otherwise("text")).drop("_text")
+        rows = lowered(docs, text_col, self.nfc).select(docs[id_col].alias("_id"), F.when(F.col("_low").isNull(), "null").when(squeeze(F.col("_low")) == "", "blank").otherwise("text").alias("_state"), F.explode_outer(word_ngrams(F.col("_low"))).alias("_term"))
         met = rows.join(self.vocab, F.col("_term") == F.col("term"), "left").groupBy("_id", "_state", "term").agg((1 + F.log(F.count("*"))).alias("tf"), F.first("idf").alias("idf"), *[F.first(f"w{i}").alias(f"w{i}") for i in range(k)])
         w = F.col("tf") * F.col("idf")
         sums = met.groupBy("_id", "_state").agg(F.sqrt(F.coalesce(F.sum(w * w), F.lit(0.0))).alias("norm"), *[F.coalesce(F.sum(w * F.col(f"w{i}")), F.lit(0.0)).alias(f"s{i}") for i in range(k)])
@@ -84,7 +90,7 @@ def is_available(spark: SparkSession, path: str) -> bool:
 def fit_vocabulary(docs: DataFrame, id_col: str, text_col: str, most_terms: int = MOST_TERMS, least_df: int = LEAST_DF, most_df: float = MOST_DF, nfc: bool = True) -> DataFrame:
     """(term, df, idf): words of two characters at least and their pairs; the most frequent ones by count, then by term."""
     n = docs.count()
-    terms = docs.select(docs[id_col].alias("_id"), F.explode(word_ngrams(docs[text_col], nfc=nfc, least_chars=2)).alias("term"))
+    terms = lowered(docs, text_col, nfc).select(docs[id_col].alias("_id"), F.explode(word_ngrams(F.col("_low"), least_chars=2)).alias("term"))
     df = terms.groupBy("term", "_id").agg(F.count("*").alias("tf")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cnt"))
     kept = df.where((F.col("df") >= least_df) & (F.col("df") <= most_df * n)).orderBy(F.col("cnt").desc(), "term").limit(most_terms)
     return kept.select("term", "df", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))

@@ -270,7 +270,8 @@ grams AS (SELECT doc_id, lang, c AS f, 1 AS w FROM lagged UNION ALL SELECT doc_i
 
 @query(f"WITH {_GRAMS} SELECT f AS gram, CAST(count(*) AS BIGINT) AS n FROM grams GROUP BY f ORDER BY n DESC, gram LIMIT 200")
 def char_ngrams_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grams = documents(spark, sf_dir).select(F.explode(naive_bayes.char_ngrams(naive_bayes.normalized(F.col("text")))).alias("gram"))
+    rows = naive_bayes.in_nfc(documents(spark, sf_dir), "text", True)
+    grams = rows.select(F.explode(naive_bayes.char_ngrams(naive_bayes.normalized(F.col("_text")))).alias("gram"))
     return grams.groupBy("gram").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "gram").limit(200)
 
 

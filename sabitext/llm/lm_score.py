@@ -112,16 +112,10 @@ class _Slice:
         self.grams = np.concatenate(grams)
 
 
-def _bucket_of(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket, by ranges of the hash, and the bits that tell hashes of one bucket apart; both grow with the hash."""
-    high, low = hashes >> C.U64(32), hashes & C.U64(0xFFFFFFFF)
-    n = C.U64(buckets)
-    total = high * n + ((low * n) >> C.U64(32))
-    rest = ((total & C.U64(0xFFFFFFFF)) << C.U64(32)) | ((low * n) & C.U64(0xFFFFFFFF))
-    return (total >> C.U64(32)).astype(np.int64), rest >> C.U64(64 - BITS + buckets.bit_length() - 1)
-
-
 def _asker(buckets: int, order: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    first = np.array([-(-(k << 64) // buckets) for k in range(buckets)], np.uint64)
+    shift = C.U64(max(0, 64 - BITS + buckets.bit_length() - 1))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
@@ -129,10 +123,14 @@ def _asker(buckets: int, order: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
                 gram, count = np.unique(_Slice(sizes, words, tokens, order).grams, return_counts=True)
                 if not len(gram):
                     continue
-                bucket, rest = _bucket_of(gram, buckets)
-                starts = C.row_starts(bucket)
-                ends = np.r_[starts[1:], len(bucket)]
-                yield pa.record_batch([pa.array(bucket[starts].astype(np.int32)), pa.array([batch.column("slice")[row].as_py()] * len(starts)), _binary([packed(np.diff(rest[a:b], prepend=C.U64(0))) for a, b in zip(starts, ends)]), _binary([packed(count[a:b]) for a, b in zip(starts, ends)])], ["bucket", "slice", "grams", "counts"])
+                # bucket k has the hashes from k / buckets of their range on; the bits behind that quotient tell them apart
+                ends = np.r_[np.searchsorted(gram, first), len(gram)]
+                some = np.flatnonzero(ends[1:] > ends[:-1])
+                grams, counts = [], []
+                for a, b in zip(ends[some], ends[some + 1]):
+                    grams.append(packed(np.diff((gram[a:b] * C.U64(buckets)) >> shift, prepend=C.U64(0))))
+                    counts.append(packed(count[a:b]))
+                yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array([batch.column("slice")[row].as_py()] * len(some)), _binary(grams), _binary(counts)], ["bucket", "slice", "grams", "counts"])
 
     return run
 
@@ -176,8 +174,12 @@ def _scorer(total: int, order: int, least: int, backoff: float) -> Callable[[Ite
                 head = table.slice(a, 1).to_pylist()[0]
                 sl = _Slice(head["sizes"], head["words"], head["tokens"], order)
                 answers = np.concatenate([np.zeros(0, np.int64), *(unpacked(x).astype(np.int64) for x in table.column("counts").slice(a + 1, b - a - 1).to_pylist())])
-                _, which = np.unique(sl.grams, return_inverse=True)
-                each, counts, begin = answers[which], [], 0
+                order_ = np.argsort(sl.grams)
+                sl.grams = sl.grams[order_]
+                which = np.cumsum(np.r_[False, sl.grams[1:] != sl.grams[:-1]]) if len(order_) else order_
+                each, counts, begin = np.empty(len(order_), np.int64), [], 0
+                each[order_] = answers[which]
+                del order_, which, answers
                 for at in sl.ends:
                     full = np.zeros(len(sl.place), np.int64)
                     full[at] = each[begin : begin + len(at)]
@@ -203,10 +205,10 @@ def scored(docs: DataFrame, order: int = ORDER, least: int = LEAST, backoff: flo
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = SPREAD * tasks
     asked = slices.select("slice", "sizes", "words", "tokens").mapInArrow(_asker(buckets, order), "bucket int, slice bigint, grams binary, counts binary")
-    answered = asked.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "slice bigint, bucket int, counts binary")
+    answered = asked.repartition(2 * tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "slice bigint, bucket int, counts binary")
     none = F.lit(None).cast("binary")
     both = slices.select("slice", F.lit(-1).alias("bucket"), "ids", "sizes", "words", "tokens", none.alias("counts")).union(answered.select("slice", "bucket", none, none, none, none, "counts"))
-    met = both.repartition(tasks, "slice").sortWithinPartitions("slice", "bucket")
+    met = both.repartition(2 * tasks, "slice").sortWithinPartitions("slice", "bucket")
     return met.mapInArrow(_scorer(total, order, least, backoff), "doc_id bigint, n_tokens bigint, log_score double, mean_log_score double")
 
 

@@ -93,7 +93,8 @@ class NaiveBayes:
 
     def scores(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """(id, scores): log posteriors in the order of labels. NULL texts have NULL, blank ones their priors."""
-        rows = in_nfc(docs, text_col, self.nfc).select(docs[id_col].alias("_id"), F.col("_text").isNotNull().alias("_known"), F.explode_outer(features(F.col("_text"))).alias("_x"))
+        rows = in_nfc(docs, text_col, self.nfc).select(docs[id_col].alias("_id"), F.col("_text").isNotNull().alias("_known"), features(F.col("_text")).alias("_x"))
+        rows = rows.select("_id", "_known", F.explode_outer("_x").alias("_x"))
         met = rows.select("_id", "_known", "_x.f", "_x.w").join(self.table, F.col("f") == F.col("feature"), "left")
         sums = met.groupBy("_id", "_known").agg(F.coalesce(F.sum("w"), F.lit(0)).alias("_n"), *[F.coalesce(F.sum(F.col("w") * F.col(f"d{k}")), F.lit(0.0)).alias(f"s{k}") for k in range(len(self.labels))])
         each = [F.lit(p) + F.col("_n") * F.lit(d) + F.col(f"s{k}") for k, (p, d) in enumerate(zip(self.priors, self.defaults))]

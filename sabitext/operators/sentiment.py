@@ -56,7 +56,8 @@ class SentimentModel:
     def analyze(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """(id, label, confidence, one column for each label), rounded to 4 places. Blank texts are neutral by rule, NULL ones NULL; the first of equal labels wins."""
         k = len(self.labels)
-        rows = lowered(docs, text_col, self.nfc).select(docs[id_col].alias("_id"), F.when(F.col("_low").isNull(), "null").when(squeeze(F.col("_low")) == "", "blank").otherwise("text").alias("_state"), F.explode_outer(word_ngrams(F.col("_low"))).alias("_term"))
+        rows = lowered(docs, text_col, self.nfc).select(docs[id_col].alias("_id"), F.when(F.col("_low").isNull(), "null").when(squeeze(F.col("_low")) == "", "blank").otherwise("text").alias("_state"), word_ngrams(F.col("_low")).alias("_terms"))
+        rows = rows.select("_id", "_state", F.explode_outer("_terms").alias("_term"))
         met = rows.join(self.vocab, F.col("_term") == F.col("term"), "left").groupBy("_id", "_state", "term").agg((1 + F.log(F.count("*"))).alias("tf"), F.first("idf").alias("idf"), *[F.first(f"w{i}").alias(f"w{i}") for i in range(k)])
         w = F.col("tf") * F.col("idf")
         sums = met.groupBy("_id", "_state").agg(F.sqrt(F.coalesce(F.sum(w * w), F.lit(0.0))).alias("norm"), *[F.coalesce(F.sum(w * F.col(f"w{i}")), F.lit(0.0)).alias(f"s{i}") for i in range(k)])

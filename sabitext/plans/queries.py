@@ -472,7 +472,7 @@ SELECT doc_id, CASE WHEN blank THEN 'neutral' WHEN a >= b AND a >= c THEN 'posit
 """)
 def sentiment_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocab = spark.createDataFrame([(t, *w) for t, w in _LEXICON.items()], "term string, idf double, w0 double, w1 double, w2 double")
-    return sentiment.SentimentModel(vocab, _BIAS).analyze(documents(spark, sf_dir), "doc_id", "text").select("doc_id", "label", "positive", "negative")
+    return sentiment.SentimentModel(F.broadcast(vocab), _BIAS).analyze(documents(spark, sf_dir), "doc_id", "text").select("doc_id", "label", "positive", "negative")
 
 
 @query(f"WITH {_TERMS.replace(']+', ']{2,}')}, n AS (SELECT count(*) AS n FROM documents) SELECT term, CAST(count(*) AS BIGINT) AS df, round(ln((1 + any_value(n)) / (1 + count(*))) + 1, 6) AS idf FROM tf, n GROUP BY term HAVING count(*) >= {sentiment.LEAST_DF} AND count(*) <= {sentiment.MOST_DF} * any_value(n) ORDER BY sum(tf) DESC, term LIMIT 1000")

@@ -187,7 +187,7 @@ def _scorer(total: int, order: int, least: int, backoff: float) -> Callable[[Ite
                     begin += len(at)
                 score = log_scores(counts, sl.place, total, least, backoff)
                 row = np.repeat(np.arange(len(sl.sizes)), sl.sizes)
-                sums = np.bincount(row, score, len(sl.sizes))
+                sums = np.bincount(row, score, len(sl.sizes)).astype(float)
                 ids, empty = np.frombuffer(head["ids"], np.int64), sl.sizes == 0
                 with np.errstate(invalid="ignore"):
                     mean = sums / sl.sizes

@@ -29,8 +29,10 @@ SQL_FUNCTIONS = {
 
 def register(spark: SparkSession) -> list[str]:
     """Makes SQL functions of the expressions above: SQL bodies, not Python UDFs, so Catalyst sees through them."""
+    empty = spark.createDataFrame([], "x string")
     for name, (kind, function) in SQL_FUNCTIONS.items():
-        body = function(F.col("x"))._jc.expr().sql()
+        plan = empty.select(function(F.col("x")).alias("y"))._jdf.queryExecution().analyzed()
+        body = plan.expressions().head().child().sql()
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(x STRING) RETURNS {kind} RETURN {body}")
     return list(SQL_FUNCTIONS)
 

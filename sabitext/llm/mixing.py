@@ -176,10 +176,10 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, path:
     pieces = cut.select("source", "block", "doc_id", F.greatest("at", F.col("block") * length).alias("at"), F.expr(f"substring(ids, cast(greatest(0, block * {length} - at) * {width} + 1 as int), cast(least(at + n, (block + 1) * {length}) - greatest(at, block * {length}) as int) * {width})").alias("piece"))
     slot = slots(spark, blocks, share, shards, per_shard, seed)
     name = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
-    # a block's pieces must meet in one task, also where the slots are few enough to be broadcast
+    # a block's pieces must meet in one task; the slots, which grow with the input, are never broadcast
     left = pieces.withColumn("name", name).repartition("name", "block")
     right = slot.select("shard", "position", "epoch", name.alias("name"), "block")
-    both = left.join(right, ["name", "block"]).withColumn("slot", F.col("shard") * per_shard + F.col("position"))
+    both = left.join(right.hint("merge"), ["name", "block"]).withColumn("slot", F.col("shard") * per_shard + F.col("position"))
     ordered = both.sortWithinPartitions("name", "block", "slot", "at").select("slot", "shard", "position", "source", "block", "epoch", "doc_id", "piece")
     return ordered.mapInArrow(_assembler(kind, length, free_id(path)), schema)
 

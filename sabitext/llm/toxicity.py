@@ -85,19 +85,19 @@ def fit(terms: list[np.ndarray], label: np.ndarray, share: float, rank: int = RA
     n, pos = len(label), label.sum()
     if not 0 < pos < n:
         return None
-    row = np.repeat(np.arange(n), [len(t) for t in terms])
-    col = np.concatenate(terms).astype(np.int64)
-    names, col = np.unique(col, return_inverse=True)
-    df = np.bincount(col, minlength=len(names))
-    df_pos = np.bincount(col, label[row], len(names))
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t in terms])
+    col = np.concatenate(terms).astype(np.int32)
+    df = np.bincount(col, minlength=BUCKETS)
+    names = np.flatnonzero(df)
+    df, df_pos = df[names], np.bincount(col[label[row] > 0], minlength=BUCKETS)[names]
     p = pos / n
     z = (df_pos - df * p) / np.sqrt(np.maximum(df * p * (1 - p) * (1 - df / (n + 1)), 1e-9))
     keep = np.flatnonzero((df >= min(LEAST_DF, max(1, n // 50))) & (np.abs(z) > LEAST_Z))
     if not len(keep):
         return None
     keep = np.sort(keep[np.lexsort((names[keep], -np.abs(z[keep])))][:MOST_TERMS])
-    place = np.full(len(names), -1)
-    place[keep] = np.arange(len(keep))
+    place = np.full(BUCKETS, -1, np.int32)
+    place[names[keep]] = np.arange(len(keep))
     x = np.zeros((n, len(keep)), np.float32)
     at = place[col] >= 0
     x[row[at], place[col[at]]] = 1
@@ -157,15 +157,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factoriza
     """A machine fitted on labelled rows of docs; None if they don't hold both classes."""
     picked, share = sampled(labels, "toxic", sample)
     rows = docs.where("text is not null").select(docs["doc_id"].cast("bigint").alias("label_id"), docs["text"].cast("string").alias("text")).join(F.broadcast(picked), "label_id").select("label_id", "text", "toxic")
-    got = sorted(rows.mapInArrow(_features, "toxic int, terms array<int>, minima array<bigint>").collect(), key=lambda r: (r["minima"], r["toxic"]))
+    got = rows.mapInArrow(_features, "toxic int, terms array<int>, minima array<bigint>").toArrow().combine_chunks()
+    if not got.num_rows:
+        return None
+    label = got.column("toxic").to_numpy()
+    minima = got.column("minima").combine_chunks().flatten().to_numpy().reshape(-1, len(_MINIMA))
+    lists = got.column("terms").combine_chunks()
+    at, values = lists.offsets.to_numpy(), lists.values.to_numpy()
     seen: set[tuple[int, int]] = set()
     use = []
-    for r in got:
-        own = {(k, m) for k, m in enumerate(r["minima"])}
+    for r in np.lexsort((label, *minima.T[::-1])):
+        own = set(enumerate(minima[r].tolist()))
         if not own & seen:
             use.append(r)
         seen |= own
-    return fit([np.array(r["terms"], np.int64) for r in use], np.array([r["toxic"] for r in use]), share)
+    return fit([values[at[r] : at[r + 1]] for r in use], label[use], share)
 
 
 def toxic_score(model: FactorizationMachine | None, text: Column) -> Column:

@@ -1,7 +1,11 @@
 """Secrets: a battery of randomness tests for each inferred encoding, with length-aware false-discovery control.
 
-Candidates are runs of LEAST or more of A-Z a-z 0-9 + / _ - (with trailing =).
-From its characters a run's encoding is inferred (hex, base32, base36, base62,
+Candidates are runs of LEAST or more of A-Z a-z 0-9 + / _ - (with trailing =), and
+their parts of that length: the pieces between separators (+ / _ -, of each kind and
+of several), and runs and pieces without the words at either end, as in key-<hex>,
+sk_live_<base64url> and /v1/<hex>. Each has its own encoding and its own tests. Of
+overlapping ones that pass, the one is reported whose encoding saves most over the text model.
+From its characters a candidate's encoding is inferred (hex, base32, base36, base62,
 base64, base64url; digits alone are numbers, letters alone words). A candidate is a secret if both hold:
 
 1. Against text: its surprisal under the corpus's own character transitions
@@ -32,7 +36,9 @@ from . import common as C
 
 LEAST, ALPHA, REJECT, MASK = 16, 0.001, 0.001, "[SECRET]"
 STRATA, BINS = 12, 1200
+CELLS = 1 << 20  # characters whose randomness is tested at once
 _CHARS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+_SEPARATORS = list(b"+/_-")
 _IN = np.zeros(256, bool)
 _IN[list(_CHARS)] = True
 #: Classes of the text model: 0 outside, 1-26 letters, 27 digits, 28 others.
@@ -101,16 +107,54 @@ class TextModel:
         self.sd = float(np.sqrt(max((share * self.surprise**2).sum() - self.mean**2, 1e-6)))
 
 
+def parts(sub: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of the parts of runs that lie end to end in sub, run i from at[i] to at[i + 1]: the pieces
+    between separators of each kind and of several kinds, and runs and pieces without the words at either end."""
+    spans = [np.stack([at[:-1], at[1:]], 1)]
+    present = [c for c in _SEPARATORS if (sub == c).any()]
+    for some in range(1, 1 << len(present)):
+        apart = np.isin(sub, [c for i, c in enumerate(present) if some >> i & 1])
+        spans.append(np.stack(C.spans(~apart, at)[:2], 1))
+    word_begin, word_end, _ = C.spans(~np.isin(sub, _SEPARATORS), at)
+    digits, upper = (np.concatenate([[0], np.cumsum(m)]) for m in ((sub >= 48) & (sub <= 57), (sub >= 65) & (sub <= 90)))
+    n, d, u = word_end - word_begin, digits[word_end] - digits[word_begin], upper[word_end] - upper[word_begin]
+    first = sub[word_begin]
+    word = (d == 0) & ((u == 0) | (u == n) | ((u == 1) & (first >= 65) & (first <= 90))) & (n < LEAST) | (d == n - 1) & (n <= 3) & np.isin(first, list(b"vV"))
+    begins, ends = word_begin[~word], word_end[~word]
+    every = np.unique(np.concatenate(spans), axis=0)
+    every = every[every[:, 1] - every[:, 0] >= LEAST]
+    if len(begins) and len(every):
+        begin, end = every.T
+        later = begins[np.minimum(np.searchsorted(begins, begin), len(begins) - 1)]
+        sooner = ends[np.maximum(np.searchsorted(ends, end, "right") - 1, 0)]
+        later = np.where((later >= begin) & (later < end), later, begin)
+        sooner = np.where((sooner <= end) & (sooner > later), sooner, end)
+        every = np.unique(np.concatenate([every, np.stack([later, end], 1), np.stack([begin, sooner], 1), np.stack([later, sooner], 1)]), axis=0)
+    return every[:, 0], every[:, 1]
+
+
 def candidates(texts: pa.Array, model: TextModel) -> dict[str, np.ndarray]:
-    """row, begin and end (bytes in the row), encoding, p_text and p_random of each run that has an encoding."""
+    """row, begin and end (bytes in the slice), length, encoding, p_text and gain of each run or part that has digits and letters; the lengths of the others in words. gain: nats saved by the encoding over the text model."""
     body, at = C.flat(texts)
     begin, end, row = C.spans(_IN[body], at)
     long = end - begin >= LEAST
     begin, end, row = begin[long], end[long], row[long]
     kind = _CLASS[body].astype(np.int64)
-    digits, letters = (np.concatenate([[0], np.cumsum(m)]) for m in (kind == 27, (kind > 0) & (kind < 27)))
+    digits, letters, others = (np.concatenate([[0], np.cumsum(m)]) for m in (kind == 27, (kind > 0) & (kind < 27), kind == 28))
+    parted = others[end] > others[begin]
+    if parted.any():
+        of, n = np.flatnonzero(parted), (end - begin)[parted]
+        inner = np.concatenate([[0], np.cumsum(n)])
+        move = begin[of] - inner[:-1]
+        b, e = parts(body[np.arange(inner[-1]) + np.repeat(move, n)], inner)
+        run = np.searchsorted(inner, b, "right") - 1
+        fine = e - b >= LEAST
+        b, e, run = b[fine], e[fine], run[fine]
+        begin, end, row = (np.concatenate(x) for x in ((begin[~parted], b + move[run]), (end[~parted], e + move[run]), (row[~parted], row[of[run]])))
+        order = np.lexsort((end, begin))
+        begin, end, row = begin[order], end[order], row[order]
     mixed = (digits[end] > digits[begin]) & (letters[end] > letters[begin])
-    m = int(len(begin))  # words are candidates too: they count among the tests, with p = 1
+    words = (end - begin)[~mixed]  # words are candidates too: they count among the tests, with p = 1
     begin, end, row = begin[mixed], end[mixed], row[mixed]
     bad = [np.concatenate([[0], np.cumsum((code < 0)[body] & (body != 45) if k < 2 else (code < 0)[body])]) for k, code in enumerate(_CODE)] if len(begin) else []
     encoding = np.full(len(begin), len(ENCODINGS))
@@ -118,16 +162,22 @@ def candidates(texts: pa.Array, model: TextModel) -> dict[str, np.ndarray]:
         encoding[bad[k][end] == bad[k][begin]] = k
     step = np.concatenate([[0], np.cumsum(np.r_[0, model.surprise[kind[:-1], kind[1:]]])]) if len(kind) else np.zeros(1)
     n = end - begin
-    z = ((step[end] - step[begin + 1]) - (n - 1) * model.mean) / (model.sd * np.sqrt(n - 1))
-    p_text = upper_tail(z)
+    surprise = step[end] - step[begin + 1]
+    z = (surprise - (n - 1) * model.mean) / (model.sd * np.sqrt(n - 1))
+    gain = surprise - n * np.log(np.append(_SIZE, 1 << 20))[encoding]
+    return {"row": row, "begin": begin, "end": end, "length": n, "encoding": encoding, "p_text": upper_tail(z), "gain": gain, "words": words}
+
+
+def randomness(body: np.ndarray, begin: np.ndarray, end: np.ndarray, encoding: np.ndarray) -> np.ndarray:
+    """The least of the three p-values of each span in its encoding, after Bonferroni."""
     p_random = np.zeros(len(begin))
+    n = end - begin
     order = np.argsort(n, kind="stable")
-    for part in np.array_split(order, max(1, len(order) // 2000)):
-        part = part[encoding[part] < len(ENCODINGS)]
+    cut = np.flatnonzero(np.diff(np.cumsum(n[order]) // CELLS)) + 1
+    for part in np.split(order, cut):
         if not len(part):
             continue
-        width = int(n[part].max())
-        grid = begin[part, None] + np.arange(width)
+        grid = begin[part, None] + np.arange(int(n[part].max()))
         use = grid < end[part, None]
         codes = np.where(use, _CODE[encoding[part, None], body[np.minimum(grid, len(body) - 1)]], -1)
         dash = use & (codes < 0)  # hyphens inside hex
@@ -140,7 +190,24 @@ def candidates(texts: pa.Array, model: TextModel) -> dict[str, np.ndarray]:
         if ok.any():
             p[ok] = np.minimum(1, 3 * uniformity(codes[ok], k[ok], _SIZE[encoding[part[ok]]]).min(1))
         p_random[part] = p
-    return {"row": row, "begin": begin - at[row], "end": end - at[row], "encoding": encoding, "p_text": p_text, "p_random": p_random, "length": n, "words": np.array([m - len(begin)])}
+    return p_random
+
+
+def apart(begin: np.ndarray, end: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    """Places, in order, of spans that don't overlap: of those that do, the one that gains most. begin ascends."""
+    if not len(begin):
+        return np.zeros(0, np.int64)
+    fresh = np.r_[True, begin[1:] >= np.maximum.accumulate(end)[:-1]]
+    first = np.flatnonzero(fresh)
+    kept: list[int] = []
+    for i, j in zip(first, [*first[1:], len(begin)]):
+        left = np.arange(i, j)
+        left = left[np.lexsort((begin[left] - end[left], -gain[left]))]
+        while len(left):
+            best = left[0]
+            kept.append(int(best))
+            left = left[(end[left] <= begin[best]) | (begin[left] >= end[best])]
+    return np.sort(np.array(kept, np.int64))
 
 
 def stratum(n: np.ndarray) -> np.ndarray:
@@ -183,11 +250,8 @@ def cutoffs(docs: DataFrame, model: TextModel) -> np.ndarray:
         for batch in batches:
             for a, b in C.slices(batch.column(0)):
                 part = batch.column(0).slice(a, b - a)
-                body, at = C.flat(part)
-                begin, end, _ = C.spans(_IN[body], at)
-                n = (end - begin)[end - begin >= LEAST]
                 got = candidates(part, model)
-                total[:, 0] += np.bincount(stratum(n), minlength=STRATA) - np.bincount(stratum(got["length"]), minlength=STRATA)
+                total[:, 0] += np.bincount(stratum(got["words"]), minlength=STRATA)
                 np.add.at(total, (stratum(got["length"]), level(got["p_text"])), 1)
         s, k = np.nonzero(total)
         yield pa.record_batch([pa.array(s), pa.array(k), pa.array(total[s, k])], ["s", "k", "n"])
@@ -214,10 +278,18 @@ class Scanner:
         self.model, self.cutoff = model, cutoff
 
     def find(self, texts: pa.Array) -> dict[str, np.ndarray]:
+        """row, begin and end (bytes in the row), encoding, p_text and p_random of each secret, in order."""
+        body, at = C.flat(texts)
         got = candidates(texts, self.model)
         got.pop("words")
-        is_secret = (level(got["p_text"]) >= self.cutoff[stratum(got["length"])]) & (got["p_random"] >= REJECT) & (got["encoding"] < len(ENCODINGS))
-        return {k: v[is_secret] for k, v in got.items()}
+        unlike = (level(got["p_text"]) >= self.cutoff[stratum(got["length"])]) & (got["encoding"] < len(ENCODINGS))
+        got = {k: v[unlike] for k, v in got.items()}
+        got["p_random"] = randomness(body, got["begin"], got["end"], got["encoding"])
+        random = got["p_random"] >= REJECT
+        got = {k: v[random] for k, v in got.items()}
+        kept = apart(got["begin"], got["end"], got["gain"])
+        got = {k: v[kept] for k, v in got.items()}
+        return got | {"begin": got["begin"] - at[got["row"]], "end": got["end"] - at[got["row"]]}
 
     def redact(self, texts: pa.Array) -> list[str | None]:
         """The text without its secrets where it has any, else None."""

@@ -92,6 +92,28 @@ def test_secrets_are_found_and_words_left_alone(spark):
     assert all(clean[k]["text"] == rows[k][1] for k in range(200) if k not in secret)
 
 
+def test_secrets_joined_to_words_are_found(spark):
+    r = random.Random(4)
+    draw = lambda n, letters: "".join(r.choice(letters) for _ in range(n))
+    hexa, plain = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    forms = [("key-", 32, hexa), ("token_", 40, hexa), ("/v1/", 40, hexa), ("/api_v2/my-app/", 40, hexa), ("ghp_", 36, plain), ("my-app_", 64, hexa)]
+    rows, want = [], {}
+    for k in range(240):
+        prefix, n, letters = forms[k % len(forms)]
+        want[k] = draw(n, letters)
+        rows += [(k, f"{prose(100, k)} {prefix}{want[k]} {prose(100, 900 + k)} some-long_word/and-a_path/of-words", "en", "a", 1), (1000 + k, f"{prose(200, k)} {want[k]} end", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {(x["doc_id"], x["secret"]) for x in secret_scan.secrets(docs).collect()}
+    alone = {k for k in want if (1000 + k, want[k]) in got}
+    joined = {k for k, s in got if k < 1000 and want[k] in s}
+    assert len(alone) >= 0.8 * len(want) and alone <= joined
+    assert all(s in forms[k % len(forms)][0] + want[k] for k, s in got if k < 1000)
+    assert sum((k, want[k]) in got for k in alone if k % len(forms) != 4) >= 0.95 * len(alone) * 5 / 6  # GitHub's prefix may be told with its key
+    clean = {x["doc_id"]: x["text"] for x in secret_scan.redacted(docs).collect()}
+    assert not any(want[k] in clean[k] for k in alone)
+    assert all("some-long_word/and-a_path/of-words" in clean[k] for k in want)
+
+
 def test_uniformity_rejects_what_is_not_random():
     rng = np.random.default_rng(0)
     n, size = np.full(400, 40.0), np.full(400, 16)

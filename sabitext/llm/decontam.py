@@ -1,8 +1,10 @@
 """Benchmark decontamination by the q-gram lemma.
 
 Texts are normalised (lower case, every run of other than letters and digits
-one space). A benchmark item is cut into overlapping windows of WINDOW
-characters. A passage within k = BUDGET * length edits of a window shares at
+one space). A benchmark item is cut into overlapping windows: of SHORT characters
+at every STEP, so each passage of PASSAGE normalised characters or more, wherever it
+begins, holds a whole one; and of WINDOW characters at every STRIDE, whose edits may
+be less evenly spread. Shorter items are one window. A passage within k = BUDGET * length edits of a window shares at
 least t = length - Q + 1 - k * Q character q-grams with it, on diagonals
 (place in the text minus place in the window) that span at most k + 1. Shared
 q-grams are counted in diagonal bands of width 2 (k + 1) that overlap by half,
@@ -31,6 +33,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 Q, WINDOW, STRIDE, BUDGET, LEAST = 8, 96, 48, 0.08, 40
+SHORT, STEP = 48, 16
+PASSAGE = SHORT + STEP - 1
 PART_CHARS = 20_000_000
 _LIMIT = 0x3000
 _NORMAL = np.array([ord(c.lower()) if c.isalnum() and len(c.lower()) == 1 else ord(c) if c.isalnum() else 32 for c in map(chr, range(_LIMIT))] + [0], np.uint32)
@@ -91,17 +95,20 @@ class Benchmark:
                 c = c[:-1]
             if len(c) < LEAST:
                 continue
-            last = max(0, len(c) - WINDOW)
-            for s in [*range(0, last, STRIDE), last]:
+            spans = set()
+            for width, stride in ((WINDOW, STRIDE), (SHORT, STEP)):
+                last = max(0, len(c) - width)
+                spans |= {(s, min(s + width, len(c))) for s in [*range(0, last, stride), last]}
+            for s, e in sorted(spans):
                 self.item.append(item)
-                self.window.append(c[s : s + WINDOW])
+                self.window.append(c[s:e])
         self.length = np.array([len(w) for w in self.window], np.int64)
         self.budget = (self.length * BUDGET).astype(np.int64)
         self.least = self.length - Q + 1 - self.budget * Q
         parts = [grams(w) for w in self.window]
         gram = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        of = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        place = np.concatenate([np.arange(len(p)) for p in parts]) if parts else np.zeros(0, np.int64)
+        of = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
+        place = np.concatenate([np.arange(len(p), dtype=np.int32) for p in parts]) if parts else np.zeros(0, np.int32)
         order = np.argsort(gram, kind="stable")
         self.of, self.place = of[order], place[order]
         self.gram, self.first, self.count = np.unique(gram[order], return_index=True, return_counts=True)
@@ -131,7 +138,7 @@ class Benchmark:
         n = self.count[k]
         i = np.repeat(at, n)
         j = np.repeat(self.first[k] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        of, diagonal = self.of[j], i - self.place[j] + WINDOW
+        of, diagonal = self.of[j].astype(np.int64), i - self.place[j] + WINDOW
         half = self.budget[of] + 1
         found = []
         for shift in (0, 1):

@@ -205,6 +205,23 @@ def test_decontamination_finds_what_brute_force_finds():
     assert got == want and len(want) >= 12
 
 
+def test_every_passage_of_the_least_length_is_found():
+    r = random.Random(21)
+    items = [(k, prose(n, 700 + k)) for k, n in enumerate((10, 16, 40))]
+    bench = decontam.Benchmark(items)
+    texts, want = [], []
+    for item, text in items:
+        c = "".join(map(chr, decontam.normalised([text]).chars[1:])).rstrip()
+        for n in (decontam.PASSAGE, 100):
+            for s in range(0, len(c) - n + 1, 1 if n < 100 else 5):
+                want.append((len(texts), item))
+                texts.append(f"{prose(12, s)} {c[s : s + n]} {prose(r.randint(0, 12), s + 1)}")
+    assert decontam.PASSAGE <= 70 and len(want) > 200
+    got = {(row, item) for row, item, *_ in bench.search(texts)}
+    assert not set(want) - got
+    assert bench.search([prose(300, 3000 + k) for k in range(10)]) == []
+
+
 # --- 5
 
 

@@ -486,7 +486,7 @@ def sentiment_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = table(spark, sf_dir, "labels").where("quality is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("q"))
     rows = docs.join(labels, F.col("doc_id") == F.col("id")).select("doc_id", "text", F.when(F.col("q") == 1, "positive").otherwise("negative").alias("label"))
-    model = sentiment.fit(rows, "doc_id", "text", "label", labels=("positive", "negative"), max_iter=100, most_terms=5000)
+    model = sentiment.fit(rows, "doc_id", "text", "label", labels=("positive", "negative"))
     return model.analyze(docs, "doc_id", "text").select("doc_id", "label", "confidence")
 
 

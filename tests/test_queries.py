@@ -41,6 +41,21 @@ def test_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_sentiment_fit_keeps_the_operators_defaults(spark, monkeypatch):
+    from sabitext.operators import sentiment
+
+    given = {}
+
+    def fit(*args, **kwargs):
+        given.update(kwargs)
+        raise InterruptedError
+
+    monkeypatch.setattr(sentiment, "fit", fit)
+    with pytest.raises(InterruptedError):
+        QUERIES["sentiment_fit"](spark, SF)
+    assert set(given) == {"labels"} and sentiment.MOST_TERMS == 50_000
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -1,21 +1,29 @@
 """Language detection: naive Bayes on character n-grams, script features and Pidgin markers.
 
 A fitted model is a table with one row for each feature and a column for each
-label, so one join scores all labels. A text is exploded, joined and summed
-within its task; only one row for each text is shuffled.
+label. Texts are cut in the worker, some MB at a time: training hands on each
+slice's distinct features with counts by label; for scores a slice's distinct
+features are joined to the model, whatever its size, and meet the slice's texts
+there. Texts are never regrouped by id, so ids may repeat or be NULL.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
+from ..functions import ragged
 from ..functions.normalize import normalize_unicode
 from ..functions.text import let, squeeze, words_of
-from ..shared import written
+from ..shared import in_slices, written
 
 LANGUAGES = ("yor", "hau", "ibo", "pcm", "eng")
 SIZES, LEAST, ALPHA, NO_DEFAULT = 4, 2, 1.0, -15.0
@@ -42,11 +50,6 @@ def normalized(text: Column) -> Column:
     return squeeze(F.lower(text))
 
 
-def in_nfc(docs: DataFrame, text_col: str, nfc: bool) -> DataFrame:
-    """docs with the column _text, brought to NFC. A column of its own, since lambda functions can't hold a Python UDF."""
-    return docs.withColumn("_text", normalize_unicode(docs[text_col]) if nfc else docs[text_col])
-
-
 def char_ngrams(text: Column, sizes: int = SIZES) -> Column:
     """L2: every n-gram of 1 to `sizes` characters, as often as it occurs."""
 
@@ -62,12 +65,15 @@ def char_ngrams(text: Column, sizes: int = SIZES) -> Column:
 
 def script_features(text: Column) -> Column:
     """Array of (feature, weight) with weights above 0."""
-    low = F.lower(text)
-    words = F.array_distinct(F.transform(words_of(low), lambda w: F.regexp_replace(w, r"""^[.,!?;:'"()\-]+|[.,!?;:'"()\-]+$""", "")))
-    weights = [(name, F.regexp_count(text, F.lit(f"[{chars}]")) * weight) for name, chars, weight in SCRIPTS]
-    weights.append(("__FEAT_PCM_VOCAB__", F.size(F.array_intersect(words, F.array(*map(F.lit, PCM_WORDS)))) * 5))
-    weights.append(("__FEAT_PCM_BIGRAM__", sum((low.contains(p).cast("int") for p in PCM_PHRASES), F.lit(0)) * 5))
-    return F.filter(F.array(*[F.struct(F.lit(n).alias("f"), w.cast("int").alias("w")) for n, w in weights]), lambda x: x.w > 0)
+
+    def of(low: Column) -> Column:
+        words = F.array_distinct(F.transform(F.array_distinct(words_of(low)), lambda w: F.regexp_replace(w, r"""^[.,!?;:'"()\-]+|[.,!?;:'"()\-]+$""", "")))
+        weights = [(name, F.regexp_count(text, F.lit(f"[{chars}]")) * weight) for name, chars, weight in SCRIPTS]
+        weights.append(("__FEAT_PCM_VOCAB__", F.size(F.array_intersect(words, F.array(*map(F.lit, PCM_WORDS)))) * 5))
+        weights.append(("__FEAT_PCM_BIGRAM__", sum((low.contains(p).cast("int") for p in PCM_PHRASES), F.lit(0)) * 5))
+        return F.filter(F.array(*[F.struct(F.lit(n).alias("f"), w.cast("int").alias("w")) for n, w in weights]), lambda x: x.w > 0)
+
+    return let(F.lower(text), of)
 
 
 def has_pidgin(text: Column) -> Column:
@@ -81,6 +87,67 @@ def features(text: Column) -> Column:
     return F.concat(grams, script_features(text))
 
 
+def prepared(docs: DataFrame, text_col: str, nfc: bool, *columns: Column) -> DataFrame:
+    """The columns, then _text (in NFC), _low (in lower case) and _norm (L1) of each row."""
+    rows = docs.select(*columns, (normalize_unicode(docs[text_col]) if nfc else docs[text_col]).alias("_text"))
+    return rows.withColumn("_low", F.lower("_text")).withColumn("_norm", squeeze(F.col("_low")))
+
+
+class Features:
+    """L6 of a batch: for each occurrence of a feature its text, its number and its weight; names by number."""
+
+    def __init__(self, texts: list[str | None], lows: list[str | None], norms: list[str | None]) -> None:
+        rows, numbers, self.names = [], [], []
+        for row, number, names in ragged.char_grams(norms, SIZES):
+            rows.append(row)
+            numbers.append(number + len(self.names))
+            self.names += names
+        _, codes, at = ragged.joined(texts)
+        of = np.repeat(np.arange(len(texts)), np.diff(at))
+        weights = [np.bincount(of[np.isin(codes, [*map(ord, chars)])], minlength=len(texts)) * weight for _, chars, weight in SCRIPTS]
+        known = [{w.strip(".,!?;:'\"()-") for w in (t or "").split()} for t in lows]
+        weights.append(np.array([5 * sum(w in ws for w in PCM_WORDS) for ws in known], np.int64))
+        weights.append(np.array([5 * sum(p in (t or "") for p in PCM_PHRASES) for t in lows], np.int64))
+        self.pidgin = (weights[-1] + weights[-2]) > 0
+        times = [np.ones(len(r), np.int64) for r in rows]
+        for name, w in zip([*(n for n, _, _ in SCRIPTS), "__FEAT_PCM_VOCAB__", "__FEAT_PCM_BIGRAM__"], weights):
+            rows.append(np.flatnonzero(w))
+            numbers.append(np.full(len(rows[-1]), len(self.names)))
+            times.append(w[rows[-1]])
+            self.names.append(name)
+        self.row, self.number, self.times = map(np.concatenate, (rows, numbers, times))
+
+    def present(self) -> list[str]:
+        """Names of the features that occur."""
+        return [self.names[k] for k in np.flatnonzero(np.bincount(self.number, minlength=len(self.names)))]
+
+
+def _lists(table: pa.RecordBatch | pa.Table) -> list[list[str | None]]:
+    return [table.column(c).to_pylist() for c in ("_text", "_low", "_norm")]
+
+
+def gram_counts(docs: DataFrame, text_col: str, nfc: bool = True, sizes: int = SIZES) -> DataFrame:
+    """(gram, n): how often each n-gram of 1 to sizes characters occurs in all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in ragged.batches_of(batch.column("_norm")):
+                for _, number, names in ragged.char_grams(batch.column("_norm").slice(a, b - a).to_pylist(), sizes):
+                    yield pa.record_batch([pa.array(names, pa.string()), pa.array(np.bincount(number, minlength=len(names)).astype(np.int64))], ["gram", "n"])
+
+    return prepared(docs, text_col, nfc).select("_norm").mapInArrow(run, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        number = batch.column("_slice").to_numpy()
+        cuts = np.flatnonzero(np.r_[True, number[1:] != number[:-1], True]) if len(number) else [0]
+        for a, b in zip(cuts, cuts[1:]):
+            got = Features(*_lists(batch.slice(a, b - a)))
+            names = got.present()
+            yield pa.record_batch([pa.array([int(number[a])] * len(names), pa.int64()), pa.array(names, pa.string())], ["_slice", "feature"])
+
+
 @dataclass
 class NaiveBayes:
     """labels in the order that decides ties; prior and default for each; table (feature, d0, d1, ...): log likelihoods above the default."""
@@ -91,14 +158,33 @@ class NaiveBayes:
     table: DataFrame
     nfc: bool = True
 
+    def _scored(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        """(id, scores, _mark) of every row."""
+        texts = in_slices(prepared(docs, text_col, self.nfc, docs[id_col].alias("_id")), "_text", "nb-slices")
+        met = texts.mapInArrow(_asked, "_slice bigint, feature string").join(self.table, "feature")
+        priors, defaults = np.array(self.priors), np.array(self.defaults)
+        kind = texts.schema["_id"].dataType
+        schema = texts.select("_id").schema.add("scores", ArrayType(DoubleType())).add("_mark", StringType())
+
+        def score(texts: pa.Table, model: pa.Table) -> pa.Table:
+            n, k = texts.num_rows, len(priors)
+            got = Features(*_lists(texts))
+            at = pc.index_in(pa.array(got.names, pa.string()), model.column("feature").combine_chunks()).fill_null(-1).to_numpy()
+            sums = np.bincount(got.row, got.times, n)[:, None] * defaults + priors
+            for i in range(k):
+                gain = np.append(model.column(f"d{i}").to_numpy(), 0.0)[at]
+                sums[:, i] += np.bincount(got.row, got.times * gain[got.number], n)
+            null = texts.column("_text").is_null().to_numpy()
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), pa.array(sums.ravel()), mask=pa.array(null))
+            mark = np.where(null, None, np.where(pc.equal(texts.column("_norm"), "").fill_null(False).to_numpy(zero_copy_only=False), "blank", np.where(got.pidgin, "pidgin", "none")))
+            return pa.table([texts.column("_id"), lists, pa.array(mark, pa.string())], ["_id", "scores", "_mark"])
+
+        found = texts.groupBy("_slice").cogroup(met.groupBy("_slice")).applyInArrow(score, schema)
+        return found.select(F.col("_id").cast(kind).alias(id_col), "scores", "_mark")
+
     def scores(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        """(id, scores): log posteriors in the order of labels. NULL texts have NULL, blank ones their priors."""
-        rows = in_nfc(docs, text_col, self.nfc).select(docs[id_col].alias("_id"), F.col("_text").isNotNull().alias("_known"), features(F.col("_text")).alias("_x"))
-        rows = rows.select("_id", "_known", F.explode_outer("_x").alias("_x"))
-        met = rows.select("_id", "_known", "_x.f", "_x.w").join(self.table, F.col("f") == F.col("feature"), "left")
-        sums = met.groupBy("_id", "_known").agg(F.coalesce(F.sum("w"), F.lit(0)).alias("_n"), *[F.coalesce(F.sum(F.col("w") * F.col(f"d{k}")), F.lit(0.0)).alias(f"s{k}") for k in range(len(self.labels))])
-        each = [F.lit(p) + F.col("_n") * F.lit(d) + F.col(f"s{k}") for k, (p, d) in enumerate(zip(self.priors, self.defaults))]
-        return sums.select(F.col("_id").alias(id_col), F.when(F.col("_known"), F.array(*each)).alias("scores"))
+        """(id, scores) of every row: log posteriors in the order of labels. NULL texts have NULL, blank ones their priors."""
+        return self._scored(docs, id_col, text_col).select(id_col, "scores")
 
     def _ranked(self) -> Column:
         """Labels by score, ties in their order."""
@@ -117,13 +203,11 @@ class NaiveBayes:
 
     def detect(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """(id, lang, confidence, scores). Blank texts have no lang and confidence 0; pcm without a Pidgin marker gives way to the second best."""
-        text = docs[text_col]
-        marks = docs.select(docs[id_col].alias("_mark"), F.when(squeeze(text) == "", "blank").when(has_pidgin(text), "pidgin").otherwise("none").alias("mark"))
-        found = self.scores(docs, id_col, text_col).join(marks, F.col(id_col) == F.col("_mark"))
+        found = self._scored(docs, id_col, text_col)
         ranked, prob = self._ranked(), self.probabilities()
-        lang = F.when(F.col("mark") == "blank", None).when((ranked[0] == "pcm") & (F.col("mark") == "none"), ranked[1]).otherwise(ranked[0])
+        lang = F.when(F.col("_mark") == "blank", None).when((ranked[0] == "pcm") & (F.col("_mark") == "none"), ranked[1]).otherwise(ranked[0])
         even = F.map_from_arrays(F.array(*map(F.lit, self.labels)), F.array(*[F.lit(1 / len(self.labels))] * len(self.labels)))
-        return found.select(id_col, lang.alias("lang"), F.coalesce(F.element_at(prob, lang), F.lit(0.0)).alias("confidence"), F.when(F.col("mark") == "blank", even).otherwise(prob).alias("scores"))
+        return found.select(id_col, lang.alias("lang"), F.coalesce(F.element_at(prob, lang), F.lit(0.0)).alias("confidence"), F.when(F.col("_mark") == "blank", even).otherwise(prob).alias("scores"))
 
     def save(self, path: str) -> None:
         """The table as Parquet, the rest as one row beside it."""
@@ -140,10 +224,21 @@ class NaiveBayes:
 
 def fit(docs: DataFrame, text_col: str, label_col: str, labels: list[str] | None = None, uniform: bool = True, alpha: float = ALPHA, nfc: bool = True) -> NaiveBayes:
     """L7. Denominators count all features, also those pruned for being seen fewer than LEAST times; labels default to sorted order."""
-    known = docs.where(docs[text_col].isNotNull() & docs[label_col].isNotNull())
-    rows = in_nfc(known, text_col, nfc).select(known[label_col].alias("label"), features(F.col("_text")).alias("x"))
-    counts = written(rows.select("label", F.explode("x").alias("x")).groupBy("label", F.col("x.f").alias("feature")).agg(F.sum("x.w").alias("n")), "nb-counts")
-    seen = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    known = prepared(docs.where(docs[text_col].isNotNull() & docs[label_col].isNotNull()), text_col, nfc, docs[label_col].cast("string").alias("label"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in ragged.batches_of(batch.column("_norm")):
+                part = batch.slice(a, b - a)
+                got = Features(*_lists(part))
+                label, names = ragged.numbered(part.column("label").to_pylist(), b - a)
+                first, n, _ = ragged.tallied(label[got.row] * np.int64(len(got.names)) + got.number, got.times)
+                yield pa.record_batch([pa.array([names[k] for k in label[got.row[first]]], pa.string()), pa.array([got.names[k] for k in got.number[first]], pa.string()), pa.array(n)], ["label", "feature", "n"])
+                yield pa.record_batch([pa.array(names, pa.string()), pa.nulls(len(names), pa.string()), pa.array(np.bincount(label))], ["label", "feature", "n"])
+
+    every = written(known.mapInArrow(run, "label string, feature string, n bigint").groupBy("label", "feature").agg(F.sum("n").alias("n")), "nb-counts")
+    seen = {r["label"]: r["n"] for r in every.where("feature is null").collect()}  # texts of each label
+    counts = every.where("feature is not null")
     labels = [x for x in labels if x in seen] if labels else sorted(seen)
     totals = {r["label"]: r["n"] for r in counts.groupBy("label").agg(F.sum("n").alias("n")).collect()}
     wide = counts.groupBy("feature").agg(F.sum("n").alias("total"), *[F.coalesce(F.sum(F.when(F.col("label") == x, F.col("n"))), F.lit(0)).alias(f"n{k}") for k, x in enumerate(labels)])

@@ -15,7 +15,7 @@ from ..functions import text as T
 from ..functions.chars import WORD, WS
 from ..functions.normalize import normalize_unicode
 from ..operators import knn, metrics, naive_bayes, sentiment, tokencost, tokenizer, words
-
+from ..shared import spread
 from ..sources import dims, registry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,7 +39,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 # --- SQL fragments
@@ -270,9 +270,8 @@ grams AS (SELECT doc_id, lang, c AS f, 1 AS w FROM lagged UNION ALL SELECT doc_i
 
 @query(f"WITH {_GRAMS} SELECT f AS gram, CAST(count(*) AS BIGINT) AS n FROM grams GROUP BY f ORDER BY n DESC, gram LIMIT 200")
 def char_ngrams_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = naive_bayes.in_nfc(documents(spark, sf_dir), "text", True)
-    grams = rows.select(F.explode(naive_bayes.char_ngrams(naive_bayes.normalized(F.col("_text")))).alias("gram"))
-    return grams.groupBy("gram").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "gram").limit(200)
+    grams = naive_bayes.gram_counts(documents(spark, sf_dir), "text")
+    return grams.orderBy(F.col("n").desc(), "gram").limit(200)
 
 
 def _script_sql(text: str) -> list[tuple[str, str]]:

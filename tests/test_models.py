@@ -54,6 +54,16 @@ def test_naive_bayes(spark, tmp_path):
     assert (found[0]["lang"], found[2]["lang"], found[4]["lang"]) == ("pcm", "yor", "ibo")
     assert (found[5]["lang"], found[5]["confidence"], found[6]["lang"]) == (None, 0.0, None)
     assert sum(found[1]["scores"].values()) == pytest.approx(1) and found[6]["scores"]["yor"] == 0.2
+    grams = collections.Counter()
+    for _, names, times in [(0, *zip(*[(g, n) for g, n in plain_features(t).items() if not g.startswith("__")])) for t, _ in TEXTS]:
+        grams.update(dict(zip(names, times)))
+    assert {r["gram"]: r["n"] for r in naive_bayes.gram_counts(docs, "text").collect()} == grams
+    column = collections.Counter(g for r in docs.select(naive_bayes.char_ngrams(naive_bayes.normalized(F.col("text"))).alias("g")).collect() for g in r["g"])
+    assert column == grams
+    again = spark.createDataFrame([(1, "abeg wetin dey"), (1, "the fine day"), (None, "ọjọ́"), (None, None), (1, "abeg wetin dey")], "id int, t string")
+    rows_ = sorted((str(r["id"]), str(r["lang"])) for r in model.detect(again, "id", "t").collect())
+    assert rows_ == [("1", "eng"), ("1", "pcm"), ("1", "pcm"), ("None", "None"), ("None", "yor")]
+    assert model.scores(again.limit(0), "id", "t").count() == 0
     model.save(str(tmp_path / "nb"))
     again = naive_bayes.NaiveBayes.load(spark, str(tmp_path / "nb"))
     assert {r["id"]: r["scores"] for r in again.scores(rows, "id", "t").collect()} == got

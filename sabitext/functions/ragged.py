@@ -67,6 +67,22 @@ def numbered(items: Iterable[str], n: int) -> tuple[np.ndarray, list[str]]:
     return np.fromiter((seen.setdefault(x, len(seen)) for x in items), np.int64, n), list(seen)
 
 
+def cut(whole: str, codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The pieces whole[begin:end]; they ascend and don't overlap. No string is made in Python."""
+    data = whole.encode("utf-8", "surrogatepass")
+    at = np.r_[0, np.cumsum(np.int64(1) + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF))]
+    edges = np.empty(2 * len(begin) + 1, np.int64)
+    edges[0:-1:2], edges[1::2], edges[-1] = at[begin], at[end], at[end[-1]] if len(end) else 0
+    both = pa.LargeStringArray.from_buffers(2 * len(begin), pa.py_buffer(edges), pa.py_buffer(data))
+    return both.take(pa.array(np.arange(0, 2 * len(begin), 2)))
+
+
+def coded(pieces: pa.Array) -> tuple[np.ndarray, list[str]]:
+    """numbered() of an Arrow column."""
+    got = pieces.dictionary_encode()
+    return got.indices.to_numpy().astype(np.int64), got.dictionary.to_pylist()
+
+
 def gathered(first: np.ndarray, size: np.ndarray, which: np.ndarray) -> np.ndarray:
     """Places of all elements of the lists `which`, end to end; list k has size[k] elements from first[k] on."""
     n = size[which]

@@ -431,9 +431,10 @@ def word_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def viterbi_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bare = documents(spark, sf_dir).select("doc_id", "text", T.strip_diacritics(F.col("text")).alias("bare"))
-    out = bare.select("doc_id", "text", _word_model(spark, sf_dir).diacritize(F.col("bare")).alias("restored"))
-    return out.select("doc_id", F.md5("restored").alias("restored"), (F.col("restored") == F.col("text")).alias("exact"))
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    out = _word_model(spark, sf_dir).viterbi(docs.select("doc_id", T.strip_diacritics(F.col("text")).alias("bare")), "doc_id", "bare")
+    text = docs.select(F.col("doc_id").alias("d"), "text")
+    return out.join(text, F.col("doc_id") == F.col("d")).select("doc_id", F.md5("restored").alias("restored"), (F.col("restored") == F.col("text")).alias("exact"))
 
 
 @query()

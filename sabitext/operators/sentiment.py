@@ -1,28 +1,33 @@
-"""Sentiment: TF-IDF of word n-grams and softmax regression. Scoring is a join with the vocabulary and a sum for each text."""
+"""Sentiment: TF-IDF of word n-grams and softmax regression.
+
+Texts are cut in the worker. A slice's distinct terms are joined to the vocabulary,
+whatever its size, and meet the slice's texts there; texts are never regrouped
+by id, so ids may repeat or be NULL.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
+from ..functions import ragged
 from ..functions.chars import WORD
 from ..functions.normalize import normalize_unicode
-from ..functions.text import let, squeeze
-from ..shared import written
+from ..functions.text import let
+from ..shared import in_slices, written
 
 LABELS = ("positive", "neutral", "negative")
 BLANK = (0.33, 0.34, 0.33)
 MOST_TERMS, LEAST_DF, MOST_DF, SIZES = 50_000, 3, 0.95, 2
 
 
-def lowered(docs: DataFrame, text_col: str, nfc: bool) -> DataFrame:
-    """docs with the column _low, in lower case and NFC. A column of its own, since lambda functions can't hold a Python UDF."""
-    low = F.lower(docs[text_col])
-    return docs.withColumn("_low", normalize_unicode(low) if nfc else low)
-
-
 def word_ngrams(low: Column, sizes: int = SIZES, least_chars: int = 1) -> Column:
     """All words, then all pairs, and so on, of a text in lower case. Combining marks end a word."""
 
@@ -36,12 +41,69 @@ def word_ngrams(low: Column, sizes: int = SIZES, least_chars: int = 1) -> Column
     return let(F.regexp_extract_all(low, F.lit(f"[{WORD}]{{{least_chars},}}" if least_chars > 1 else f"[{WORD}]+"), 0), all_sizes)
 
 
+def _terms(texts: list[str | None], least_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """E1 of each text, distinct: its text, its number, its count; and the distinct terms."""
+    whole, codes, at = ragged.joined(texts)
+    begin, end = ragged.runs(ragged.in_classes("LN", "_")[codes] if len(codes) else np.zeros(0, bool), at)
+    long = end - begin >= least_chars
+    begin, end = begin[long], end[long]
+    row = ragged.row_of(at, begin)
+    word, names = ragged.coded(ragged.cut(whole, codes, begin, end))
+    rows, numbers, terms = [row], [word], list(names)
+    for n in range(2, SIZES + 1):
+        m = max(len(word) - n + 1, 0)
+        inside = np.flatnonzero(row[:m] == row[n - 1 :])
+        key = numbers[0][inside]
+        for k in range(1, n):
+            key = ragged.ranked(key << 31 | word[inside + k])[0]
+        number, first = ragged.ranked(key)
+        rows.append(row[inside])
+        numbers.append(number + len(terms))
+        terms += [" ".join(names[word[i + k]] for k in range(n)) for i in inside[first].tolist()]
+    row, number = np.concatenate(rows), np.concatenate(numbers)
+    first, times, _ = ragged.tallied(row << 31 | number)
+    return row[first], number[first], times, terms
+
+
+def _asked(least_chars: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number = batch.column("_slice").to_numpy()
+            cuts = np.flatnonzero(np.r_[True, number[1:] != number[:-1], True]) if len(number) else [0]
+            for a, b in zip(cuts, cuts[1:]):
+                terms = _terms(batch.column("_low").slice(a, b - a).to_pylist(), least_chars)[3]
+                yield pa.record_batch([pa.array([int(number[a])] * len(terms), pa.int64()), pa.array(terms, pa.string())], ["_slice", "term"])
+
+    return run
+
+
+def _weighed(texts: pa.Table, vocab: pa.Table, least_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """E2 of a slice: row, row of vocab and weight of each term that vocab knows: (1 + ln tf) * idf, each text's weights of length 1."""
+    row, number, times, terms = _terms(texts.column("_low").to_pylist(), least_chars)
+    known = pc.index_in(pa.array(terms, pa.string()), vocab.column("term").combine_chunks()).fill_null(-1).to_numpy() if terms else np.zeros(0, np.int64)
+    at = known[number] if len(number) else number
+    row, at, times = row[at >= 0], at[at >= 0].astype(np.int64), times[at >= 0]
+    weight = (1 + np.log(times)) * vocab.column("idf").to_numpy()[at] if len(at) else np.zeros(0)
+    norm = np.sqrt(np.bincount(row, weight * weight, texts.num_rows))
+    return row, at, weight / norm[row]
+
+
+def _in_slices(docs: DataFrame, text_col: str, nfc: bool, *columns: Column) -> DataFrame:
+    low = F.lower(docs[text_col])
+    return in_slices(docs.select(*columns, (normalize_unicode(low) if nfc else low).alias("_low")), "_low", "sentiment-slices")
+
+
 def tfidf(docs: DataFrame, id_col: str, text_col: str, vocab: DataFrame, nfc: bool = True, least_chars: int = 1) -> DataFrame:
-    """(id, term, weight): (1 + ln tf) * idf, each text's weights of length 1; only terms of vocab(term, idf, ...)."""
-    rows = lowered(docs, text_col, nfc).select(docs[id_col].alias("_id"), F.explode(word_ngrams(F.col("_low"), least_chars=least_chars)).alias("_term"))
-    met = rows.join(vocab.select("term", "idf"), F.col("_term") == F.col("term")).groupBy("_id", "term").agg(((1 + F.log(F.count("*"))) * F.first("idf")).alias("w"))
-    norm = met.groupBy(F.col("_id").alias("_n")).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return met.join(norm, F.col("_id").eqNullSafe(F.col("_n"))).select(F.col("_id").alias(id_col), "term", (F.col("w") / F.col("norm")).alias("weight"))
+    """(id, term, weight) of every row and term of vocab(term, idf, ...) that it has."""
+    texts = _in_slices(docs, text_col, nfc, docs[id_col].alias("_id"))
+
+    def weigh(texts: pa.Table, vocab: pa.Table) -> pa.Table:
+        row, at, weight = _weighed(texts, vocab, least_chars)
+        return pa.table([texts.column("_id").take(pa.array(row)), vocab.column("term").take(pa.array(at)), pa.array(weight)], ["_id", "term", "weight"])
+
+    met = texts.mapInArrow(_asked(least_chars), "_slice bigint, term string").join(vocab.select("term", "idf"), "term")
+    schema = texts.select("_id").schema.add("term", StringType()).add("weight", DoubleType())
+    return texts.groupBy("_slice").cogroup(met.groupBy("_slice")).applyInArrow(weigh, schema).withColumnRenamed("_id", id_col)
 
 
 @dataclass
@@ -54,15 +116,21 @@ class SentimentModel:
     nfc: bool = True
 
     def analyze(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        """(id, label, confidence, one column for each label), rounded to 4 places. Blank texts are neutral by rule, NULL ones NULL; the first of equal labels wins."""
-        k = len(self.labels)
-        rows = lowered(docs, text_col, self.nfc).select(docs[id_col].alias("_id"), F.when(F.col("_low").isNull(), "null").when(squeeze(F.col("_low")) == "", "blank").otherwise("text").alias("_state"), word_ngrams(F.col("_low")).alias("_terms"))
-        rows = rows.select("_id", "_state", F.explode_outer("_terms").alias("_term"))
-        met = rows.join(self.vocab, F.col("_term") == F.col("term"), "left").groupBy("_id", "_state", "term").agg((1 + F.log(F.count("*"))).alias("tf"), F.first("idf").alias("idf"), *[F.first(f"w{i}").alias(f"w{i}") for i in range(k)])
-        w = F.col("tf") * F.col("idf")
-        sums = met.groupBy("_id", "_state").agg(F.sqrt(F.coalesce(F.sum(w * w), F.lit(0.0))).alias("norm"), *[F.coalesce(F.sum(w * F.col(f"w{i}")), F.lit(0.0)).alias(f"s{i}") for i in range(k)])
-        logits = [F.lit(float(b)) + F.when(F.col("norm") > 0, F.col(f"s{i}") / F.col("norm")).otherwise(0.0) for i, b in enumerate(self.intercepts)]
-        x = sums.select("_id", "_state", F.array(*logits).alias("z"))
+        """(id, label, confidence, one column for each label) of every row, rounded to 4 places. Blank texts are neutral by rule, NULL ones NULL; the first of equal labels wins."""
+        k, bias = len(self.labels), np.array(self.intercepts, float)
+        texts = _in_slices(docs, text_col, self.nfc, docs[id_col].alias("_id"))
+
+        def score(texts: pa.Table, vocab: pa.Table) -> pa.Table:
+            row, at, weight = _weighed(texts, vocab, 1)
+            z = np.stack([bias[i] + np.bincount(row, weight * vocab.column(f"w{i}").to_numpy()[at], texts.num_rows) if len(at) else np.full(texts.num_rows, bias[i]) for i in range(k)], 1)
+            lows = texts.column("_low").to_pylist()
+            state = ["null" if t is None else "text" if t.strip() else "blank" for t in lows]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(lows) + 1, dtype=np.int32) * k), pa.array(z.ravel()))
+            return pa.table([texts.column("_id"), pa.array(state, pa.string()), lists], ["_id", "_state", "z"])
+
+        met = texts.mapInArrow(_asked(1), "_slice bigint, term string").join(self.vocab.select("term", "idf", *[f"w{i}" for i in range(k)]), "term")
+        schema = texts.select("_id").schema.add("_state", StringType()).add("z", ArrayType(DoubleType()))
+        x = texts.groupBy("_slice").cogroup(met.groupBy("_slice")).applyInArrow(score, schema)
         top = F.array_max("z")
         p = F.transform("z", lambda z: F.exp(z - top))
         x = x.select("_id", "_state", "z", F.transform(p, lambda e: e / F.aggregate(p, F.lit(0.0), lambda a, b: a + b)).alias("p"))
@@ -88,34 +156,56 @@ def is_available(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
-def fit_vocabulary(docs: DataFrame, id_col: str, text_col: str, most_terms: int = MOST_TERMS, least_df: int = LEAST_DF, most_df: float = MOST_DF, nfc: bool = True) -> DataFrame:
-    """(term, df, idf): words of two characters at least and their pairs; the most frequent ones by count, then by term."""
+def fit_vocabulary(docs: DataFrame, text_col: str, most_terms: int = MOST_TERMS, least_df: int = LEAST_DF, most_df: float = MOST_DF, nfc: bool = True) -> DataFrame:
+    """(term, df, idf): words of two characters at least and their pairs; the most frequent ones by count, then by term. Each row is a document."""
     n = docs.count()
-    terms = lowered(docs, text_col, nfc).select(docs[id_col].alias("_id"), F.explode(word_ngrams(F.col("_low"), least_chars=2)).alias("term"))
-    df = terms.groupBy("term", "_id").agg(F.count("*").alias("tf")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cnt"))
+    low = F.lower(docs[text_col])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in ragged.batches_of(batch.column(0)):
+                _, number, times, terms = _terms(batch.column(0).slice(a, b - a).to_pylist(), 2)
+                total = np.zeros(len(terms), np.int64)
+                np.add.at(total, number, times)
+                yield pa.record_batch([pa.array(terms, pa.string()), pa.array(np.bincount(number, minlength=len(terms)), pa.int64()), pa.array(total)], ["term", "df", "cnt"])
+
+    counts = docs.select((normalize_unicode(low) if nfc else low).alias("_low")).mapInArrow(run, "term string, df bigint, cnt bigint")
+    df = counts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cnt").alias("cnt"))
     kept = df.where((F.col("df") >= least_df) & (F.col("df") <= most_df * n)).orderBy(F.col("cnt").desc(), "term").limit(most_terms)
     return kept.select("term", "df", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def fit(docs: DataFrame, id_col: str, text_col: str, label_col: str, labels: tuple[str, ...] = LABELS, max_iter: int = 1000, nfc: bool = True, **vocabulary: float) -> SentimentModel:
+def fit(docs: DataFrame, text_col: str, label_col: str, labels: tuple[str, ...] = LABELS, max_iter: int = 1000, nfc: bool = True, **vocabulary: float) -> SentimentModel:
     """Multinomial logistic regression by MLlib on the weights; the penalty is 1 / n, as with C = 1."""
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.linalg import SparseVector, VectorUDT
+    from pyspark.ml.linalg import VectorUDT
 
     spark = docs.sparkSession
     docs = docs.where(docs[text_col].isNotNull() & docs[label_col].isin(*labels))
-    vocab = written(fit_vocabulary(docs, id_col, text_col, nfc=nfc, **vocabulary), "sentiment-vocab")
+    vocab = written(fit_vocabulary(docs, text_col, nfc=nfc, **vocabulary), "sentiment-vocab")
     terms = [r["term"] for r in vocab.select("term").orderBy("term").collect()]  # at most most_terms
-    numbers = spark.createDataFrame(list(enumerate(terms)), "i int, t string")
-    weights = tfidf(docs, id_col, text_col, vocab, nfc, least_chars=2).join(numbers, F.col("term") == F.col("t"))
     size = len(terms)
-    make = F.udf(lambda pairs: SparseVector(size, sorted((p[0], p[1]) for p in pairs or [])), VectorUDT())
-    rows = weights.groupBy(F.col(id_col).alias("_v")).agg(F.collect_list(F.struct("i", "weight")).alias("pairs"))
-    number = F.array_position(F.array(*map(F.lit, labels)), F.col(label_col)).cast("double") - 1
-    table = docs.select(docs[id_col].alias("_i"), number.alias("label")).join(rows, F.col("_i").eqNullSafe(F.col("_v")), "left").select("label", make("pairs").alias("features"))
-    table = written(table, "sentiment-rows")
+    numbers = spark.createDataFrame(pa.table([pa.array(terms, pa.string()), pa.array(range(size), pa.int32())], ["t", "i"]))
+    number = F.array_position(F.array(*map(F.lit, labels)), docs[label_col]).cast("double") - 1
+    texts = _in_slices(docs, text_col, nfc, number.alias("label"))
+    met = texts.mapInArrow(_asked(2), "_slice bigint, term string").join(vocab.select("term", "idf"), "term").join(numbers, F.col("term") == F.col("t")).drop("t")
+    vector = "struct<type: tinyint, size: int, indices: array<int>, values: array<double>>"
+
+    def weigh(texts: pa.Table, vocab: pa.Table) -> pa.Table:
+        row, at, weight = _weighed(texts, vocab, 2)
+        place = vocab.column("i").to_numpy()[at] if len(at) else at.astype(np.int32)
+        order = np.lexsort((place, row))
+        ends = pa.array(np.r_[0, np.cumsum(np.bincount(row, minlength=texts.num_rows))].astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x[order])) for x in (place.astype(np.int32), weight)]
+        n = texts.num_rows
+        features = pa.StructArray.from_arrays([pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size, np.int32)), *lists], ["type", "size", "indices", "values"])
+        return pa.table([texts.column("label"), features], ["label", "features"])
+
+    # Parquet holds a vector as this struct: written as one, the table is read again with vectors
+    raw = written(texts.groupBy("_slice").cogroup(met.groupBy("_slice")).applyInArrow(weigh, f"label double, features {vector}"), "sentiment-rows")
+    table = spark.read.schema(StructType([StructField("label", DoubleType()), StructField("features", VectorUDT())])).parquet(raw.inputFiles()[0].rsplit("/", 1)[0])
     n = table.count()
     model = LogisticRegression(family="multinomial", regParam=1 / max(n, 1), standardization=False, maxIter=max_iter).fit(table)
     coef = model.coefficientMatrix.toArray()
-    w = spark.createDataFrame([(t, *(float(x) for x in coef[:, i])) for i, t in enumerate(terms)], "t string, " + ", ".join(f"w{k} double" for k in range(len(coef))))
+    w = spark.createDataFrame(pa.table([pa.array(terms, pa.string()), *map(pa.array, coef)], ["t", *(f"w{k}" for k in range(len(coef)))]))
     return SentimentModel(written(vocab.join(w, F.col("term") == F.col("t")).select("term", "idf", *[f"w{k}" for k in range(len(coef))]), "sentiment-model"), tuple(float(b) for b in model.interceptVector), labels[: len(coef)], nfc)

@@ -472,12 +472,12 @@ SELECT doc_id, CASE WHEN blank THEN 'neutral' WHEN a >= b AND a >= c THEN 'posit
 """)
 def sentiment_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocab = spark.createDataFrame([(t, *w) for t, w in _LEXICON.items()], "term string, idf double, w0 double, w1 double, w2 double")
-    return sentiment.SentimentModel(F.broadcast(vocab), _BIAS).analyze(documents(spark, sf_dir), "doc_id", "text").select("doc_id", "label", "positive", "negative")
+    return sentiment.SentimentModel(vocab, _BIAS).analyze(documents(spark, sf_dir), "doc_id", "text").select("doc_id", "label", "positive", "negative")
 
 
 @query(f"WITH {_TERMS.replace(']+', ']{2,}')}, n AS (SELECT count(*) AS n FROM documents) SELECT term, CAST(count(*) AS BIGINT) AS df, round(ln((1 + any_value(n)) / (1 + count(*))) + 1, 6) AS idf FROM tf, n GROUP BY term HAVING count(*) >= {sentiment.LEAST_DF} AND count(*) <= {sentiment.MOST_DF} * any_value(n) ORDER BY sum(tf) DESC, term LIMIT 1000")
 def tfidf_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentiment.fit_vocabulary(documents(spark, sf_dir), "doc_id", "text", most_terms=1000).select("term", "df", F.round("idf", 6).alias("idf"))
+    return sentiment.fit_vocabulary(documents(spark, sf_dir), "text", most_terms=1000).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query()
@@ -486,7 +486,7 @@ def sentiment_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = table(spark, sf_dir, "labels").where("quality is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("q"))
     rows = docs.join(labels, F.col("doc_id") == F.col("id")).select("doc_id", "text", F.when(F.col("q") == 1, "positive").otherwise("negative").alias("label"))
-    model = sentiment.fit(rows, "doc_id", "text", "label", labels=("positive", "negative"))
+    model = sentiment.fit(rows, "text", "label", labels=("positive", "negative"))
     return model.analyze(docs, "doc_id", "text").select("doc_id", "label", "confidence")
 
 

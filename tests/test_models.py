@@ -210,13 +210,19 @@ def test_sentiment(spark, tmp_path):
     good, bad = "film sweet well well", "film bad no good"
     rows = [(i, good if i % 2 else bad, "positive" if i % 2 else "negative") for i in range(40)] + [(98, None, "positive"), (99, "film", "neutral")]
     docs = spark.createDataFrame(rows, "id int, t string, label string")
-    model = sentiment.fit(docs, "id", "t", "label", max_iter=50, most_df=1.0)
+    model = sentiment.fit(docs, "t", "label", max_iter=50, most_df=1.0)
     asked = spark.createDataFrame([(1, "sweet film"), (2, "bad film"), (3, ""), (4, None), (5, "zzz qqq"), (6, "sweet " * 20_000)], "id int, t string")
     got = {r["id"]: r for r in model.analyze(asked, "id", "t").collect()}
     assert (got[1]["label"], got[2]["label"], got[6]["label"]) == ("positive", "negative", "positive")
     assert tuple(got[3])[1:] == ("neutral", 0.33, 0.33, 0.34, 0.33) and got[4]["label"] is None
     z = [math.exp(b) for b in model.intercepts]
     assert got[5]["positive"] == pytest.approx(z[0] / sum(z), abs=1e-4)
+    twice = spark.createDataFrame([(1, "sweet"), (1, "bad"), (None, "bad"), (None, None)], "id int, t string")
+    assert sorted((str(r["id"]), str(r["label"])) for r in model.analyze(twice, "id", "t").collect()) == [("1", "negative"), ("1", "positive"), ("None", "None"), ("None", "negative")]
+    weights = {(r["id"], r["term"]): r["weight"] for r in sentiment.tfidf(asked, "id", "t", model.vocab).collect()}
+    assert sum(w * w for (i, _), w in weights.items() if i == 1) == pytest.approx(1) and {t for i, t in weights if i == 6} <= {"sweet", "sweet sweet"}
+    column = asked.where("id = 2").select(sentiment.word_ngrams(F.lower("t"))).first()[0]
+    assert sorted(column) == ["bad", "bad film", "film"]
     assert not sentiment.is_available(spark, str(tmp_path / "s"))
     model.save(str(tmp_path / "s"))
     assert sentiment.is_available(spark, str(tmp_path / "s"))

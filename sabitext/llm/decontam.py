@@ -11,9 +11,17 @@ q-grams are counted in diagonal bands of width 2 (k + 1) that overlap by half,
 so all of them fall in one band together. Bands with t or more are verified by
 banded alignment; no true passage is lost before that.
 
-The q-grams of the benchmark go to the workers with the function as long as
-the benchmark is under PART_CHARS; a larger one is cut into parts of that size
-and the texts are searched for each.
+Bands are only counted where they can reach t: k edits leave one of any k + 1
+disjoint pieces of a window as it was. Of each window the k + 1 disjoint pieces of
+SEED characters are indexed that the benchmark has least often, and a band is
+counted if it holds one of them. So common phrases cost nothing, unless a window
+has little else, and the work grows little with the benchmark. Windows of WINDOW
+characters need no pieces: with their budget of edits one of their halves, which
+are SHORT windows, is within its own.
+
+A benchmark of up to PART_CHARS characters goes to the workers with the function; a
+larger one is cut into parts of that size, and the texts are searched for each. Parts
+are built one after the other; what is found for one is written before the next.
 
 Rules. NULL and empty texts hold nothing; NULL ids are kept in the result. Items shorter than
 LEAST characters after normalisation, NULL ones among them, are no evidence
@@ -33,13 +41,12 @@ from pyspark.sql import functions as F
 from . import common as C
 
 Q, WINDOW, STRIDE, BUDGET, LEAST = 8, 96, 48, 0.08, 40
-SHORT, STEP = 48, 16
+SHORT, STEP, SEED = 48, 16, 10
 PASSAGE = SHORT + STEP - 1
 PART_CHARS = 20_000_000
 _LIMIT = 0x3000
 _NORMAL = np.array([ord(c.lower()) if c.isalnum() and len(c.lower()) == 1 else ord(c) if c.isalnum() else 32 for c in map(chr, range(_LIMIT))] + [0], np.uint32)
 _NORMAL[0] = 0
-_BITS = 22
 _B1 = C.U64(0x9E3779B97F4A7C15)
 with np.errstate(over="ignore"):
     _B2 = _B1 * _B1
@@ -68,88 +75,159 @@ def normalised(texts: list[str | None]) -> Flat:
     return Flat(c, begin, where - where[begin][row] - 1 if len(begin) else where)
 
 
-def grams(c: np.ndarray) -> np.ndarray:
-    """Hash of the q-gram at each place; those that cross a text's beginning are 0."""
-    n = len(c) - Q + 1
+def grams(c: np.ndarray, size: int = Q) -> np.ndarray:
+    """Hash of the piece of Q or SEED characters at each place; those that cross a text's beginning are 0."""
+    n = len(c) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     h = c.astype(np.uint64) + C.U64(1)
-    h = h[:-1] * _B1 + h[1:]
-    h = h[:-2] * _B2 + h[2:]
+    two = h[:-1] * _B1 + h[1:]
+    h = two[:-2] * _B2 + two[2:]
     h = h[:-4] * _B4 + h[4:]
+    if size == SEED:
+        h = h[: -SEED + Q] * _B2 + two[Q:]
     h ^= h >> C.U64(29)
     h *= C.U64(0xBF58476D1CE4E5B9)
     zero = np.cumsum(np.r_[0, c == 0])
-    h[zero[Q:] != zero[:-Q]] = 0
+    h[zero[size:] != zero[:-size]] = 0
     return h
 
 
+def rarest(cost: np.ndarray, pieces: int) -> np.ndarray:
+    """For each row the places of so many disjoint pieces of SEED characters whose costs have the least sum."""
+    n, width = cost.shape
+    best = np.zeros((n, width + SEED), np.int64)  # of the pieces so far, from each place on
+    take = np.zeros((pieces, n, width), bool)
+    for c in range(pieces):
+        now = np.full((n, width + SEED), 1 << 60, np.int64)
+        for j in range(width - 1, -1, -1):
+            with_it = cost[:, j] + best[:, j + SEED]
+            take[c, :, j] = with_it < now[:, j + 1]
+            now[:, j] = np.minimum(with_it, now[:, j + 1])
+        best = now
+    out, at = np.empty((n, pieces), np.int64), np.zeros(n, np.int64)
+    for c in range(pieces - 1, -1, -1):
+        ahead = take[c] & (np.arange(width) >= at[:, None])
+        out[:, c] = ahead.argmax(1)
+        at = out[:, c] + SEED
+    return out
+
+
 class Benchmark:
-    """Windows of the items, and their q-grams."""
+    """Windows of the items, and their rarest pieces. chars: the items end to end, each after a 0; begin: where each window begins there."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
-        self.item, self.window = [], []
-        for item, text in sorted(items):
-            c = normalised([text]).chars[1:]
-            while len(c) and c[-1] == 32:
-                c = c[:-1]
-            if len(c) < LEAST:
+        items = sorted(items)
+        flat = normalised([t for _, t in items])
+        self.chars = flat.chars
+        item, begin, length, seeded, own = [], [], [], [], []
+        self.halves: list[tuple[int, int, int]] = []  # window, its half, the half's place in it
+        for (name, _), a, b in zip(items, flat.begin + 1, [*flat.begin[1:], len(flat.chars)]):
+            b -= int(b > a and flat.chars[b - 1] == 32)
+            n = b - a
+            if n < LEAST:
                 continue
             spans = set()
             for width, stride in ((WINDOW, STRIDE), (SHORT, STEP)):
-                last = max(0, len(c) - width)
-                spans |= {(s, min(s + width, len(c))) for s in [*range(0, last, stride), last]}
-            for s, e in sorted(spans):
-                self.item.append(item)
-                self.window.append(c[s:e])
-        self.length = np.array([len(w) for w in self.window], np.int64)
+                last = max(0, n - width)
+                spans |= {(s, min(s + width, n)) for s in [*range(0, last, stride), last]}
+            extra = {(n - WINDOW, n - WINDOW + SHORT)} - spans if n >= WINDOW else set()  # the first half of the last one
+            number = {span: len(item) + k for k, span in enumerate([*sorted(spans), *extra])}
+            for s, e in number:
+                item.append(name)
+                begin.append(a + s)
+                length.append(e - s)
+                seeded.append(e - s != WINDOW)
+                own.append((s, e) in spans)
+                if e - s == WINDOW:
+                    self.halves += [(number[s, e], number[s + x, s + x + SHORT], x) for x in (0, SHORT)]
+        self.item, self.begin, self.length = np.array(item, np.int64), np.array(begin, np.int64), np.array(length, np.int64)
+        self.halves = np.array(self.halves, np.int64).reshape(-1, 3)
+        self.halves = self.halves[np.argsort(self.halves[:, 1], kind="stable")]
         self.budget = (self.length * BUDGET).astype(np.int64)
         self.least = self.length - Q + 1 - self.budget * Q
-        parts = [grams(w) for w in self.window]
-        gram = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        of = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
-        place = np.concatenate([np.arange(len(p), dtype=np.int32) for p in parts]) if parts else np.zeros(0, np.int32)
-        order = np.argsort(gram, kind="stable")
-        self.of, self.place = of[order], place[order]
-        self.gram, self.first, self.count = np.unique(gram[order], return_index=True, return_counts=True)
-        self.seen = np.zeros(1 << _BITS, bool)
-        self.seen[(self.gram >> C.U64(64 - _BITS)).astype(np.int64)] = True
+        self.own = np.array(own, bool)  # the others only lead to the windows that they are halves of
+        self._index(np.array(seeded, bool))
+        self.grams = None
+
+    def _index(self, seeded: np.ndarray) -> None:
+        h = grams(self.chars, SEED)
+        _, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
+        seed, window, place = [], [], []
+        for m in np.unique(self.length[seeded]) if seeded.any() else []:
+            every = np.flatnonzero(seeded & (self.length == m))
+            for some in np.array_split(every, -(-len(every) // 50_000)):
+                grid = self.begin[some, None] + np.arange(m - SEED + 1)
+                at = rarest(count[inverse[grid]], int(m * BUDGET) + 1)
+                window.append(np.repeat(some, at.shape[1]))
+                place.append(at.ravel())
+                seed.append(h[(self.begin[some, None] + at).ravel()])
+        seed, window, place = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((seed, np.uint64), (window, np.int64), (place, np.int64)))
+        order = np.argsort(seed, kind="stable")
+        self.window, self.place = window[order].astype(np.int32), place[order].astype(np.int16)
+        self.seed, self.first, self.count = np.unique(seed[order], return_index=True, return_counts=True)
+        self.bits = min(26, max(20, len(self.seed).bit_length() + 3))
+        self.seen = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"seen": None, "grams": None}
+
+    def _ready(self) -> None:
+        """What a worker makes of the rest."""
+        if self.seen is None:
+            self.seen = np.zeros(1 << self.bits, bool)
+            self.seen[(self.seed >> C.U64(64 - self.bits)).astype(np.int64)] = True
+            self.grams = np.r_[grams(self.chars), np.zeros(Q, np.uint64)]
+
+    def _seeds(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Window and diagonal of each indexed piece that the text holds, and of the whole windows of halves found."""
+        h = grams(chars, SEED)
+        at = np.flatnonzero(self.seen[(h >> C.U64(64 - self.bits)).astype(np.int64)])
+        k = np.minimum(np.searchsorted(self.seed, h[at]), len(self.seed) - 1)
+        real = (self.seed[k] == h[at]) & (h[at] != 0)
+        at, k = at[real], k[real]
+        n = self.count[k]
+        j = np.repeat(self.first[k] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else k
+        window, diagonal = self.window[j].astype(np.int64), np.repeat(at, n) - self.place[j]
+        a, b = (np.searchsorted(self.halves[:, 1], window, side) for side in ("left", "right"))
+        j = np.repeat(a - np.r_[0, np.cumsum(b - a)[:-1]], b - a) + np.arange((b - a).sum()) if len(a) else a
+        return np.r_[window, self.halves[j, 0]], np.r_[diagonal, np.repeat(diagonal, b - a) - self.halves[j, 2]]
+
+    def _bands(self, chars: np.ndarray) -> np.ndarray:
+        """(window, first diagonal) of each band with enough shared q-grams that holds an indexed piece."""
+        of, diagonal = self._seeds(chars)
+        of, diagonal = of[self.own[of]], diagonal[self.own[of]]
+        half = self.budget[of] + 1
+        some = []
+        for shift in (0, 1):
+            low = (diagonal + shift * half) // (2 * half) * 2 * half - shift * half
+            some.append(np.unique(of << 40 | (low + (1 << 20))))
+        key = np.unique(np.concatenate(some))
+        of, low = key >> 40, (key & ((1 << 40) - 1)) - (1 << 20)
+        h, front = grams(chars), 4 * WINDOW
+        h = np.r_[np.zeros(front, np.uint64), h, np.zeros(8 * WINDOW, np.uint64)]
+        enough = np.zeros(len(of), bool)
+        for m in np.unique(self.length[of]):
+            same = np.flatnonzero(self.length[of] == m)
+            size, wide = m - Q + 1, 2 * (int(m * BUDGET) + 1)
+            rows, own = (np.lib.stride_tricks.sliding_window_view(x, size) for x in (h, self.grams))
+            for part in np.array_split(same, -(-len(same) // 2048)):
+                mine, shared = own[self.begin[of[part]]], np.zeros(len(part), np.int64)
+                for d in range(wide):
+                    text = rows[low[part] + d + front]
+                    shared += ((text == mine) & (text != 0)).sum(1)
+                enough[part] = shared >= self.least[of[part]]
+        return np.stack([of[enough], low[enough]], 1)
 
     def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
         """(row, item, begin, end, edits) of each window found; begin and end are characters of the original text."""
-        if not self.window:
+        if not len(self.seed):
             return []
+        self._ready()
         flat = normalised(texts)
-        h = grams(flat.chars)
-        if not len(h):
+        if len(flat.chars) < SEED:
             return []
-        hit = self.seen[(h >> C.U64(64 - _BITS)).astype(np.int64)]
-        # a passage has `least` hits within its length; places without so many hits around can't be in one
-        reach = int((self.length + self.budget).max())
-        upto = np.r_[0, np.cumsum(hit, dtype=np.int32)]
-        low, high = np.maximum(np.arange(len(h)) - reach, 0), np.minimum(np.arange(len(h)) + reach + 1, len(h))
-        at = np.flatnonzero(hit & (upto[high] - upto[low] >= self.least.min()))
-        if not len(at):
-            return []
-        k = np.searchsorted(self.gram, h[at])
-        k = np.minimum(k, len(self.gram) - 1)
-        real = self.gram[k] == h[at]
-        at, k = at[real], k[real]
-        n = self.count[k]
-        i = np.repeat(at, n)
-        j = np.repeat(self.first[k] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        of, diagonal = self.of[j].astype(np.int64), i - self.place[j] + WINDOW
-        half = self.budget[of] + 1
-        found = []
-        for shift in (0, 1):
-            band = (diagonal + shift * half) // (2 * half)
-            key, count = np.unique(of * (len(flat.chars) + 4 * WINDOW) + band, return_counts=True)
-            of_key, band = key // (len(flat.chars) + 4 * WINDOW), key % (len(flat.chars) + 4 * WINDOW)
-            enough = count >= self.least[of_key]
-            of_key, band = of_key[enough], band[enough]
-            low = band * 2 * (self.budget[of_key] + 1) - shift * (self.budget[of_key] + 1) - WINDOW
-            found.append(np.stack([of_key, low], 1))
-        cand = np.unique(np.concatenate(found), axis=0)
+        cand = self._bands(flat.chars)
         out = []
         for m in np.unique(self.length[cand[:, 0]]):
             same = cand[self.length[cand[:, 0]] == m]
@@ -158,13 +236,13 @@ class Benchmark:
                 a = np.maximum(part[:, 1] - k, 0)
                 b = np.minimum(part[:, 1] + 3 * k + 2 + m, len(flat.chars))
                 grid = np.minimum(a[:, None] + np.arange(int((b - a).max())), len(flat.chars) - 1)
-                edits, s, e = banded(np.stack([self.window[w] for w in part[:, 0]]), flat.chars[grid], b - a, k)
+                edits, s, e = banded(self.chars[self.begin[part[:, 0], None] + np.arange(m)], flat.chars[grid], b - a, k)
                 found = np.flatnonzero((edits <= k) & (e > s))
                 s, e = (s + a)[found], (e + a)[found]
                 row = np.searchsorted(flat.begin, s, "right") - 1
                 whole = row == np.searchsorted(flat.begin, e - 1, "right") - 1
                 whole &= flat.chars[s] != 0
-                out += [(int(r), self.item[w], int(flat.place[x]), int(flat.place[y - 1]) + 1, int(d)) for r, w, x, y, d in zip(row[whole], part[found[whole], 0], s[whole], e[whole], edits[found[whole]])]
+                out += [(int(r), int(self.item[w]), int(flat.place[x]), int(flat.place[y - 1]) + 1, int(d)) for r, w, x, y, d in zip(row[whole], part[found[whole], 0], s[whole], e[whole], edits[found[whole]])]
         return out
 
 
@@ -201,12 +279,14 @@ def banded(pattern: np.ndarray, text: np.ndarray, length: np.ndarray, k: int) ->
     return cost[rows, at], start[rows, at].astype(np.int64), at + m - k
 
 
-def parts(benchmark: DataFrame) -> list[Benchmark]:
-    """The benchmark, in parts of at most PART_CHARS characters; only one part is on the driver at a time."""
+def parts(benchmark: DataFrame) -> Iterator[Benchmark]:
+    """The benchmark, in parts of about PART_CHARS characters at most, built one after the other."""
     clean = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     chars = clean.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = max(1, -(-chars // PART_CHARS))
-    return [Benchmark([tuple(r) for r in clean.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == p).collect()]) for p in range(n)]
+    for p in range(n):
+        got = clean.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == p).toArrow()
+        yield Benchmark(list(zip(got.column(0).to_pylist(), got.column(1).to_pylist())))
 
 
 def _searcher(bench: Benchmark) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -235,10 +315,13 @@ def _leaks(bench: Benchmark, text: Column) -> Column:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, begin, end, windows, edits): documents with passages of a benchmark item, their extent, windows found and the fewest edits of one."""
     texts = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    out = None
+    out, last = None, None
     for bench in parts(benchmark):
-        one = texts.mapInArrow(_searcher(bench), "doc_id bigint, item_id bigint, begin bigint, end bigint, edits bigint")
-        out = one if out is None else out.union(one)
+        if last is not None:
+            last = C.written(last, "leaks")
+            out = last if out is None else out.union(last)
+        last = texts.mapInArrow(_searcher(bench), "doc_id bigint, item_id bigint, begin bigint, end bigint, edits bigint")
+    out = last if out is None else out.union(last)
     return out.groupBy("doc_id", "item_id").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.count("*").alias("windows"), F.min("edits").alias("edits"))
 
 

@@ -199,8 +199,8 @@ def test_decontamination_finds_what_brute_force_finds():
     want = set()
     for row, t in enumerate(texts):
         c = [int(x) for x in decontam.normalised([t]).chars[1:]]
-        for item, window, budget in zip(bench.item, bench.window, bench.budget):
-            if (row, item) not in want and edits([int(x) for x in window], c) <= budget:
+        for item, begin, length, budget, own in zip(bench.item.tolist(), bench.begin, bench.length, bench.budget, bench.own):
+            if own and (row, item) not in want and edits(bench.chars[begin : begin + length].tolist(), c) <= budget:
                 want.add((row, item))
     assert got == want and len(want) >= 12
 
@@ -222,6 +222,39 @@ def test_every_passage_of_the_least_length_is_found():
     assert bench.search([prose(300, 3000 + k) for k in range(10)]) == []
 
 
+COMMON_FIRST = sorted({"".join(random.Random(k).choices("etaoinshrdlucmfw", k=2 + k % 9)) for k in range(20_000)}, key=len)
+
+
+def zipf(n: int, seed: int) -> str:
+    """Words as uneven as real ones: the k-th of 20,000, shorter ones first, has 1 / k of the first's share."""
+    return " ".join(random.Random(seed).choices(COMMON_FIRST, [1 / k for k in range(1, len(COMMON_FIRST) + 1)], k=n))
+
+
+def test_search_grows_little_with_the_benchmark():
+    """Common phrases are pruned: candidates for a text without passages, of words as uneven as real ones, stay far below its characters."""
+    texts = [zipf(4000, 50_000 + k) for k in range(4)]
+    chars = decontam.normalised(texts).chars
+    seen = []
+    for n in (300, 3000):
+        bench = decontam.Benchmark([(k, zipf(60, k)) for k in range(n)])
+        bench._ready()
+        assert bench.search(texts) == []
+        seen.append(len(bench._seeds(chars)[0]) / len(chars))
+    assert seen[0] < 0.05 and seen[1] < 0.2, seen
+    planted = bench.chars[bench.begin[70] : bench.begin[70] + 48].tolist()
+    assert bench.item[70] in {item for _, item, *_ in bench.search([texts[0] + " " + "".join(map(chr, planted)) + " " + texts[1]])}
+
+
+def test_rarest_pieces_are_disjoint_and_least():
+    import itertools
+
+    rng = np.random.default_rng(4)
+    cost = rng.integers(1, 50, (20, 24))
+    for row, at in zip(cost, decontam.rarest(cost, 2)):
+        best = min(row[a] + row[b] for a, b in itertools.combinations(range(24), 2) if b - a >= decontam.SEED)
+        assert row[at].sum() == best and abs(at[1] - at[0]) >= decontam.SEED
+
+
 # --- 5
 
 

@@ -10,13 +10,17 @@ hold at the present key. Its top is the innermost rule, which decides.
     example.com/docs     that host only (www. aside), paths beginning so
 
 Splitting points of the ranges come from a sample of the keys by hash; they only
-balance the work, the result is the same for any. A rule goes to every range
+balance the work, the result is the same for any. A key that is several splitting
+points, as of a URL that makes up much of the table, has its rows dealt out to all
+ranges between them by page_id. A rule goes to every range
 that it meets, so a range needs no other. The sample has about PER_RANGE keys for
 each range, and of URLs only their keys and ids are moved.
 
 Keys: scheme, user, port, fragment and a leading www. are dropped, hosts are in
-lower case without trailing dots, percent-escapes are decoded (kept if broken),
-empty, . and .. segments of the path are resolved; an empty path is /.
+lower case without trailing dots. Path and query are told apart first; in each,
+percent-escapes are decoded (all kept if one is broken) but those of / ? # and %, which stay
+as escapes in upper case; then empty, . and .. segments of the path are resolved, written
+out or escaped; an empty path is /.
 
 Rules for data. NULL URLs and those without a host match no rule: rule_id NULL,
 action NULL, n_rules 0, as for any URL without a rule. Of rules with equal keys
@@ -30,6 +34,7 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,10 +68,17 @@ def _resolved(path: Column) -> Column:
     def step(done: Column, s: Column) -> Column:
         return F.when(s.isin("", "."), done).when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(s)))
 
-    p, query = F.substring_index(path, "?", 1), F.when(F.instr(path, "?") > 0, F.substring(path, F.instr(path, "?"), F.length(path))).otherwise(F.lit(""))
-    parts = F.aggregate(F.split(p, "/"), F.expr("cast(array() as array<string>)"), step)
-    tail = F.when(p.rlike(r"(/|/\.|/\.\.)$") & (F.size(parts) > 0), F.lit("/")).otherwise(F.lit(""))
-    return F.concat(F.lit("/"), F.array_join(parts, "/"), tail, query)
+    parts = F.aggregate(F.split(path, "/"), F.expr("cast(array() as array<string>)"), step)
+    tail = F.when(path.rlike(r"(/|/\.|/\.\.)$") & (F.size(parts) > 0), F.lit("/")).otherwise(F.lit(""))
+    return F.concat(F.lit("/"), F.array_join(parts, "/"), tail)
+
+
+def _decoded(part: Column) -> Column:
+    """Without percent-escapes but those of / ? # and %."""
+    kept = part
+    for code in ("25", "2F", "3F", "23"):
+        kept = F.regexp_replace(kept, f"(?i)%{code}", f"%25{code}")
+    return F.when(part.contains("%"), F.coalesce(F.try_url_decode(F.replace(kept, F.lit("+"), F.lit("%2B"))), part)).otherwise(part)
 
 
 def key_of(url: Column, rule: bool = False) -> Column:
@@ -76,9 +88,9 @@ def key_of(url: Column, rule: bool = False) -> Column:
         url = F.when(url.rlike(_SCHEME), url).otherwise(F.concat(F.lit("//"), url))
     host = F.regexp_replace(F.lower(F.regexp_extract(url, _HOST, 1)), r"^www\.|\.+$", "")
     rest = F.regexp_extract(url, _REST, 1)
-    rest = F.when(rest.contains("%"), F.coalesce(F.try_url_decode(F.replace(rest, F.lit("+"), F.lit("%2B"))), rest)).otherwise(rest)
-    path = F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))
-    path = F.when(F.substring_index(path, "?", 1).rlike(r"//|/\.\.?(/|$)"), _resolved(path)).otherwise(path)
+    path, query = _decoded(F.substring_index(rest, "?", 1)), F.when(rest.contains("?"), _decoded(F.substring(rest, F.instr(rest, "?"), F.length(rest)))).otherwise("")
+    path = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
+    path = F.concat(F.when(path.rlike(r"//|/\.\.?(/|$)"), _resolved(path)).otherwise(path), query)
     labels = F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit("."))
     whole = F.concat(labels, F.when(rest == "", F.lit("")).otherwise(path) if rule else path)
     return F.when(host != "", whole)
@@ -93,7 +105,9 @@ def _place_urls(cuts: list[bytes]) -> Callable[[Iterator[pa.RecordBatch]], Itera
         for batch in batches:
             keys = batch.column("key").to_pylist()
             n = len(keys)
-            yield pa.record_batch([pa.array([bisect_right(cuts, k) for k in keys], pa.int32()), batch.column("key"), pa.array([1] * n, pa.int32()), pa.array([0] * n, pa.int64()), batch.column("page_id"), pa.nulls(n, pa.string())], ["range", "key", "kind", "rank", "id", "action"])
+            salt = C.mix(batch.column("page_id").fill_null(0).to_numpy().astype(np.uint64)).tolist()
+            places = [bisect_left(cuts, k) + h % (bisect_right(cuts, k) - bisect_left(cuts, k) + 1) for k, h in zip(keys, salt)]
+            yield pa.record_batch([pa.array(places, pa.int32()), batch.column("key"), pa.array([1] * n, pa.int32()), pa.array([0] * n, pa.int64()), batch.column("page_id"), pa.nulls(n, pa.string())], ["range", "key", "kind", "rank", "id", "action"])
 
     return run
 
@@ -103,7 +117,7 @@ def _place_rules(cuts: list[bytes]) -> Callable[[Iterator[pa.RecordBatch]], Iter
         for batch in batches:
             rows = []
             for key, id_, action in zip(*(batch.column(c).to_pylist() for c in ("key", "rule_id", "action"))):
-                for r in range(bisect_right(cuts, key), bisect_left(cuts, after(key)) + 1):
+                for r in range(bisect_left(cuts, key), bisect_left(cuts, after(key)) + 1):
                     rows.append((r, key, 0, -id_ if action == "allow" else 2**62 - id_, id_, action))
             if rows:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.string()))], ["range", "key", "kind", "rank", "id", "action"])
@@ -123,8 +137,9 @@ def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         range_, keys, kind, ids, action = (batch.column(c).to_pylist() for c in ("range", "key", "kind", "id", "action"))
         rules = [k for k, x in enumerate(kind) if not x or range_[k] != (range_[k - 1] if k else current)]
-        page, rule, act, depth = [], [], [], []
-        for a, b in zip([0, *rules], [*rules, len(keys)]):
+        page, url, rule, act, depth = [], [], [], [], []
+        starts = rules if rules[:1] == [0] else [0, *rules]
+        for a, b in zip(starts, [*starts[1:], len(keys)]):
             begin = a
             if a < len(keys) and range_[a] != current:
                 stack, current = [], range_[a]
@@ -139,33 +154,44 @@ def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 end = bisect_left(keys, stack[-1][0], begin, b) if stack else b
                 n = end - begin
                 page += ids[begin:end]
+                url += keys[begin:end]
                 rule += [stack[-1][1] if stack else None] * n
                 act += [stack[-1][2] if stack else None] * n
                 depth += [len(stack)] * n
                 begin = end
         if page:
-            yield pa.record_batch([pa.array(page, pa.int64()), pa.array(rule, pa.int64()), pa.array(act, pa.string()), pa.array(depth, pa.int32())], ["page_id", "rule_id", "action", "n_rules"])
+            yield pa.record_batch([pa.array(page, pa.int64()), pa.array(url, pa.binary()), pa.array(rule, pa.int64()), pa.array(act, pa.string()), pa.array(depth, pa.int32())], ["page_id", "key", "rule_id", "action", "n_rules"])
+
+
+def _keyed(pages: DataFrame) -> Column:
+    return F.coalesce(key_of(pages["url"].cast("string")), F.lit("")).cast("binary")
 
 
 def decided(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """(page_id, rule_id, action, n_rules) of every row of pages: the innermost rule and how many hold."""
-    spark = pages.sparkSession
-    keyed = pages.select(pages["page_id"].cast("bigint").alias("page_id"), F.coalesce(key_of(pages["url"].cast("string")), F.lit("")).cast("binary").alias("key"))
+    keyed = pages.select(pages["page_id"].cast("bigint").alias("page_id"), _keyed(pages).alias("key"))
+    return _swept(keyed, rules).select("page_id", "rule_id", "action", "n_rules")
+
+
+def _swept(keyed: DataFrame, rules: DataFrame) -> DataFrame:
+    """decided() of (page_id, key), with the key."""
+    spark = keyed.sparkSession
     prefixes = rules.where(rules["rule_id"].isNotNull() & rules["action"].isin("block", "allow")).select(rules["rule_id"].cast("bigint").alias("rule_id"), key_of(rules["pattern"], rule=True).cast("binary").alias("key"), rules["action"].alias("action")).where("key is not null")
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    step = max(1, pages.count() // (ranges * PER_RANGE))
+    step = max(1, keyed.count() // (ranges * PER_RANGE))
     sample = sorted(bytes(r[0]) for r in keyed.where((F.pmod(F.xxhash64("key", "page_id"), F.lit(step)) == 0) & (F.length("key") > 0)).select("key").collect())
-    cuts = sorted({sample[len(sample) * k // ranges] for k in range(1, ranges)}) if sample else []
+    cuts = [sample[len(sample) * k // ranges] for k in range(1, ranges)] if sample else []
     schema = "range int, key binary, kind int, rank bigint, id bigint, action string"
     both = keyed.mapInArrow(_place_urls(cuts), schema).union(prefixes.mapInArrow(_place_rules(cuts), schema))
-    met = both.repartition("range").sortWithinPartitions("range", "key", "kind", "rank")
-    return met.mapInArrow(sweep, "page_id bigint, rule_id bigint, action string, n_rules int")
+    met = both.repartitionById(ranges, "range").sortWithinPartitions("range", "key", "kind", "rank")
+    return met.mapInArrow(sweep, "page_id bigint, key binary, rule_id bigint, action string, n_rules int")
 
 
 def filtered(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """The rows of pages whose URL isn't blocked. Rows with a NULL page_id stay."""
-    gone = decided(pages, rules).where("action = 'block'").select(F.col("page_id").alias("blocked_id")).distinct()
-    return pages.join(gone, pages["page_id"] == gone["blocked_id"], "left_anti")
+    """The rows of pages whose URL isn't blocked, each by its own URL: distinct keys are decided, and rows go by their key."""
+    keys = pages.select(F.lit(None).cast("bigint").alias("page_id"), _keyed(pages).alias("key")).distinct()
+    gone = _swept(keys, rules).where("action = 'block'").select(F.col("key").alias("blocked_key"))
+    return pages.join(gone, _keyed(pages) == gone["blocked_key"], "left_anti")
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

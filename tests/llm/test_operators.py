@@ -279,11 +279,25 @@ def test_url_rules_match_brute_force(spark):
     assert url_filter.decided(pages.limit(0), table).count() == 0
     none = url_filter.decided(pages, table.limit(0)).collect()
     assert len(none) == len(urls) and all(x["rule_id"] is None for x in none)
-    blocked = {w[0] for w in want if w[2] == "block"}
-    assert {x["page_id"] for x in url_filter.filtered(pages, table).collect()} == {u[0] for u in urls} - blocked | {None}
+    # by row: a page_id may be repeated or NULL, and every column stays
+    allowed = [u for u, w in zip(urls, want) if w[2] != "block"]
+    left = url_filter.filtered(pages, table)
+    assert left.columns == pages.columns and order((x["page_id"], x["url"]) for x in left.collect()) == order(allowed)
+    mixed = spark.createDataFrame([(1, "http://bad.com"), (1, "http://good.com"), (None, "http://bad.com"), (None, None)], "page_id bigint, url string")
+    bad = spark.createDataFrame([(1, "bad.com", "block")], "rule_id bigint, pattern string, action string")
+    assert order(tuple(x) for x in url_filter.filtered(mixed, bad).collect()) == order([(1, "http://good.com"), (None, None)])
 
 
-@pytest.mark.parametrize(("url", "key"), [("http://www.Example.com", "com.example./"), ("https://a.b.c/x/../y?q=1#z", "c.b.a./y?q=1"), ("//h./%7Eu", "h./~u"), ("http://h/a%zz", "h./a%zz"), ("http://h?x", "h./?x"), ("http://h/a/..", "h./"), ("mailto:x", None)])
+def test_a_hot_url_is_dealt_out(spark):
+    hot = spark.createDataFrame([(k, "http://example.com/a" if k % 3 else f"http://h{k}.org/") for k in range(3000)], "page_id bigint, url string")
+    rules = spark.createDataFrame([(1, "example.com", "block"), (2, "example.com/a", "allow")], "rule_id bigint, pattern string, action string")
+    got = url_filter.decided(hot, rules)
+    assert {(x["page_id"], x["rule_id"], x["n_rules"]) for x in got.collect()} == {(k, 2 if k % 3 else None, 2 if k % 3 else 0) for k in range(3000)}
+    sizes = [x["count"] for x in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 1500
+
+
+@pytest.mark.parametrize(("url", "key"), [("http://www.Example.com", "com.example./"), ("https://a.b.c/x/../y?q=1#z", "c.b.a./y?q=1"), ("//h./%7Eu", "h./~u"), ("http://h/a%zz", "h./a%zz"), ("http://h?x", "h./?x"), ("http://h/a/..", "h./"), ("mailto:x", None), ("http://h/a%3Fb/../c", "h./c"), ("http://h/a%2F..%2fb", "h./a%2F..%2Fb"), ("http://h/x/%2E%2e/y?z=%2F%41", "h./y?z=%2FA"), ("http://h/100%25?a%3f", "h./100%25?a%3F"), ("http://h/" + "a/" * 5000 + "../b", "h./" + "a/" * 4999 + "b")])
 def test_url_keys(spark, url, key):
     assert spark.createDataFrame([(url,)], "u string").select(url_filter.key_of(F.col("u"))).first()[0] == key
 

@@ -20,17 +20,21 @@ def encoder(path: str = TOKENIZER) -> tiktoken.Encoding:
     return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-_BLANK = re.compile(r"\s{20000}")
+#: White space as the pattern means it, which isn't quite Python's.
+_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 
 
 def ids_of(enc: tiktoken.Encoding, text: str) -> list[int]:
-    """Ids of the whole text. The library can't split runs of blanks of any length: those of 20,000 and more are encoded in pieces of that size."""
-    if len(text) < 20_000 or not _BLANK.search(text):
+    """Ids of the whole text. The library gives up on very long runs of white space, which its pattern backtracks over;
+    what the pattern makes of a run is plain, so such runs are cut out here and the ids are the same: all of a run but its last
+    character is one piece, which is merged as any piece is, and the last one goes with what follows."""
+    if len(text) < 10_000:
         return enc.encode_ordinary(text)
     out, last = [], 0
-    for m in _BLANK.finditer(text):
-        out += enc.encode_ordinary(text[last : m.start()]) + enc.encode_ordinary(m.group())
-        last = m.end()
+    for m in _SPACE.finditer(text):
+        cut = m.end() if m.end() == len(text) else m.end() - 1
+        out += enc.encode_ordinary(text[last : m.start()]) + enc._encode_single_piece(text[m.start() : cut])
+        last = cut
     return out + enc.encode_ordinary(text[last:])
 
 

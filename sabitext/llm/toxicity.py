@@ -1,7 +1,7 @@
 """Toxicity: a factorization machine over hashed terms.
 
 A text's features are the distinct lower-cased words it holds and the stems (first
-STEMS bytes) of longer ones, so that inflected forms share weights, hashed to
+STEMS bytes, to the end of a character) of longer ones, so that inflected forms share weights, hashed to
 BUCKETS. The score is the logistic of w0 + sum w_i + sum_{i<j} <v_i, v_j>, so a
 pair such as an insult with a group mention has a weight of its own that no sum
 of single weights can give. Whole texts are scored, in one pass and without a
@@ -9,14 +9,16 @@ shuffle; only terms that the model knows are ever looked at.
 
 Training: of the labelled documents about SAMPLE of either class are taken by
 a hash of their ids (the only bound; counts, scores and decisions cover all
-rows). Near copies in the sample are thinned by shared minima, terms are kept
-by document frequency and association with the label, and all weights are
+rows). Near copies in the sample are thinned by shared minima. All terms are kept
+that LEAST_DF texts of the sample have and whose share of toxic texts is more than
+LEAST_Z standard errors from that of all; all weights are
 fitted together by Adam on the logistic loss. The intercept is set back to the
 classes' true shares.
 
 Rules. NULL and empty texts score 0 and aren't toxic. With labels of one class
 only, or none, nothing is toxic. Labels that are NULL are ignored; of repeated
 labels of a document the largest counts. A term repeated in a text counts once.
+Every row is scored, whatever its id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 STEMS = (5, 7)
-BUCKETS, RANK, SAMPLE, LEAST_DF, LEAST_Z, MOST_TERMS, THRESHOLD = 1 << 20, 8, 4000, 5, 4.0, 1024, 0.5
+BUCKETS, RANK, SAMPLE, LEAST_DF, LEAST_Z, THRESHOLD = 1 << 20, 8, 4000, 5, 4.0, 0.5
 _MINIMA = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -43,7 +45,10 @@ def terms_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     hashes, rows = [C.hash_spans(low, begin, end)], [row]
     for size in STEMS:
         longer = end - begin > size
-        hashes.append(C.mix(C.hash_spans(low, begin[longer], begin[longer] + size) + C.U64(size)))
+        stop = begin[longer] + size
+        for _ in range(3):  # not inside a character
+            stop += (stop < end[longer]) & (low[np.minimum(stop, len(low) - 1)] & 0xC0 == 0x80)
+        hashes.append(C.mix(C.hash_spans(low, begin[longer], stop) + C.U64(size)))
         rows.append(row[longer])
     return (np.concatenate(hashes) & C.U64(BUCKETS - 1)).astype(np.int64), np.concatenate(rows)
 
@@ -95,7 +100,6 @@ def fit(terms: list[np.ndarray], label: np.ndarray, share: float, rank: int = RA
     keep = np.flatnonzero((df >= min(LEAST_DF, max(1, n // 50))) & (np.abs(z) > LEAST_Z))
     if not len(keep):
         return None
-    keep = np.sort(keep[np.lexsort((names[keep], -np.abs(z[keep])))][:MOST_TERMS])
     place = np.full(BUCKETS, -1, np.int32)
     place[names[keep]] = np.arange(len(keep))
     x = np.zeros((n, len(keep)), np.float32)

@@ -5,22 +5,27 @@ their parts of that length: the pieces between separators (+ / _ -, of each kind
 of several), and runs and pieces without the words at either end, as in key-<hex>,
 sk_live_<base64url> and /v1/<hex>. Each has its own encoding and its own tests. Of
 overlapping ones that pass, the one is reported whose encoding saves most over the text model.
-From its characters a candidate's encoding is inferred (hex, base32, base36, base62,
-base64, base64url; digits alone are numbers, letters alone words). A candidate is a secret if both hold:
+From its characters a candidate's encoding is inferred (hex, base26, base32, base36, base52,
+base62, base64, base64url; digits alone are numbers and no candidates). A candidate is a secret if both hold:
 
 1. Against text: its surprisal under the corpus's own character transitions
    (case folded, digits one class, counted over all documents) is too high for text. The
    null is normal with mean n H and variance n s^2, so the evidence that is asked of a run
    depends on its length. Benjamini-Hochberg at ALPHA is applied in each length
-   stratum, exactly, on p-values in steps of 10^-0.05; the histogram has at
-   most STRATA * BINS rows whatever the input.
-2. For randomness: none of three tests against uniform draws from the encoding's
-   alphabet rejects at REJECT after Bonferroni: chi-squared with exact moments,
-   Wald-Wolfowitz runs about the alphabet's middle, lag-1 serial correlation.
+   stratum, exactly, on p-values in steps of 10^-0.05.
+2. For randomness: three tests against uniform draws from the encoding's alphabet, chi-squared
+   with exact moments, Wald-Wolfowitz runs about the alphabet's middle and lag-1 serial
+   correlation; p is the least of the three after Bonferroni. Among the candidates of a stratum
+   that are unlike text, Benjamini-Hochberg at REJECT tells those that aren't random: of what it
+   throws out, the share of truly random runs is REJECT at most.
+
+Both cuts come from one histogram of (stratum, text level, randomness level), which has at most
+STRATA * BINS * RBINS cells whatever the input; randomness is only looked at where p_text is
+ALPHA or less, as no other candidate can be unlike text.
 
 Rules. NULL and empty texts have no candidates; NULL ids are kept. A secret that
 occurs again, in a row or another one, is reported each time. begin and end are
-characters. An empty table gives an empty result.
+characters. Runs of under LEAST characters and of digits alone are never secrets. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 LEAST, ALPHA, REJECT, MASK = 16, 0.001, 0.001, "[SECRET]"
-STRATA, BINS = 12, 1200
+STRATA, BINS, RBINS = 12, 1200, 200
 CELLS = 1 << 20  # characters whose randomness is tested at once
 _CHARS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 _SEPARATORS = list(b"+/_-")
@@ -47,7 +52,7 @@ _CLASS[65:91] = _CLASS[97:123] = np.arange(1, 27)
 _CLASS[48:58] = 27
 _CLASS[[43, 47, 95, 45]] = 28
 _N = 29
-ENCODINGS = {"hex": b"0123456789abcdef", "HEX": b"0123456789ABCDEF", "base32": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": b"0123456789abcdefghijklmnopqrstuvwxyz", "BASE36": b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "base62": _CHARS[52:62] + _CHARS[:52], "base64": _CHARS[:64], "base64url": _CHARS[:62] + b"-_"}
+ENCODINGS = {"hex": b"0123456789abcdef", "HEX": b"0123456789ABCDEF", "base26": b"abcdefghijklmnopqrstuvwxyz", "BASE26": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "base32": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": b"0123456789abcdefghijklmnopqrstuvwxyz", "BASE36": b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "base52": _CHARS[:52], "base62": _CHARS[52:62] + _CHARS[:52], "base64": _CHARS[:64], "base64url": _CHARS[:62] + b"-_"}
 _CODE = np.full((len(ENCODINGS), 256), -1, np.int16)
 for _k, _a in enumerate(ENCODINGS.values()):
     _CODE[_k, list(_a)] = np.arange(len(_a))
@@ -134,7 +139,7 @@ def parts(sub: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def candidates(texts: pa.Array, model: TextModel) -> dict[str, np.ndarray]:
-    """row, begin and end (bytes in the slice), length, encoding, p_text and gain of each run or part that has digits and letters; the lengths of the others in words. gain: nats saved by the encoding over the text model."""
+    """row, begin and end (bytes in the slice), length, encoding, p_text and gain of each run or part that has letters; the lengths of the others in numbers. gain: nats saved by the encoding over the text model."""
     body, at = C.flat(texts)
     begin, end, row = C.spans(_IN[body], at)
     long = end - begin >= LEAST
@@ -153,9 +158,9 @@ def candidates(texts: pa.Array, model: TextModel) -> dict[str, np.ndarray]:
         begin, end, row = (np.concatenate(x) for x in ((begin[~parted], b + move[run]), (end[~parted], e + move[run]), (row[~parted], row[of[run]])))
         order = np.lexsort((end, begin))
         begin, end, row = begin[order], end[order], row[order]
-    mixed = (digits[end] > digits[begin]) & (letters[end] > letters[begin])
-    words = (end - begin)[~mixed]  # words are candidates too: they count among the tests, with p = 1
-    begin, end, row = begin[mixed], end[mixed], row[mixed]
+    lettered = letters[end] > letters[begin]
+    numbers = (end - begin)[~lettered]  # candidates too: they count among the tests, with p = 1
+    begin, end, row = begin[lettered], end[lettered], row[lettered]
     bad = [np.concatenate([[0], np.cumsum((code < 0)[body] & (body != 45) if k < 2 else (code < 0)[body])]) for k, code in enumerate(_CODE)] if len(begin) else []
     encoding = np.full(len(begin), len(ENCODINGS))
     for k in reversed(range(len(bad))):
@@ -165,7 +170,7 @@ def candidates(texts: pa.Array, model: TextModel) -> dict[str, np.ndarray]:
     surprise = step[end] - step[begin + 1]
     z = (surprise - (n - 1) * model.mean) / (model.sd * np.sqrt(n - 1))
     gain = surprise - n * np.log(np.append(_SIZE, 1 << 20))[encoding]
-    return {"row": row, "begin": begin, "end": end, "length": n, "encoding": encoding, "p_text": upper_tail(z), "gain": gain, "words": words}
+    return {"row": row, "begin": begin, "end": end, "length": n, "encoding": encoding, "p_text": upper_tail(z), "gain": gain, "numbers": numbers}
 
 
 def randomness(body: np.ndarray, begin: np.ndarray, end: np.ndarray, encoding: np.ndarray) -> np.ndarray:
@@ -215,9 +220,9 @@ def stratum(n: np.ndarray) -> np.ndarray:
     return np.minimum((2 * np.log2(np.maximum(n, LEAST) / LEAST)).astype(np.int64), STRATA - 1)
 
 
-def level(p: np.ndarray) -> np.ndarray:
+def level(p: np.ndarray, most: int = BINS - 1) -> np.ndarray:
     """Steps of 10^-0.05; the level's p-value is its upper end, so none gets smaller."""
-    return np.minimum((-20 * np.log10(np.maximum(p, 1e-300))).astype(np.int64), BINS - 1)
+    return np.minimum((-20 * np.log10(np.maximum(p, 1e-300))).astype(np.int64), most)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,50 +247,59 @@ def text_model(docs: DataFrame) -> TextModel:
     return TextModel(counts)
 
 
-def cutoffs(docs: DataFrame, model: TextModel) -> np.ndarray:
-    """For each stratum the least level at which Benjamini-Hochberg discovers; BINS if none. Counted over all texts."""
+def cutoffs(docs: DataFrame, model: TextModel) -> tuple[np.ndarray, np.ndarray]:
+    """For each stratum the least text level at which Benjamini-Hochberg discovers, and the least randomness level at which it rejects; BINS or RBINS if none. Counted over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((STRATA, BINS), np.int64)
+        cells: list[np.ndarray] = []
         for batch in batches:
             for a, b in C.slices(batch.column(0)):
                 part = batch.column(0).slice(a, b - a)
                 got = candidates(part, model)
-                total[:, 0] += np.bincount(stratum(got["words"]), minlength=STRATA)
-                np.add.at(total, (stratum(got["length"]), level(got["p_text"])), 1)
-        s, k = np.nonzero(total)
-        yield pa.record_batch([pa.array(s), pa.array(k), pa.array(total[s, k])], ["s", "k", "n"])
+                s, k, r = stratum(got["length"]), level(got["p_text"]), np.zeros(len(got["length"]), np.int64)
+                far = (got["p_text"] <= ALPHA) & (got["encoding"] < len(ENCODINGS))
+                r[far] = level(randomness(C.flat(part)[0], got["begin"][far], got["end"][far], got["encoding"][far]), RBINS - 1) + 1
+                cells += [(s * BINS + k) * (RBINS + 1) + r, stratum(got["numbers"]) * BINS * (RBINS + 1)]
+        cell, n = np.unique(np.concatenate(cells) if cells else np.zeros(0, np.int64), return_counts=True)
+        yield pa.record_batch([pa.array(cell), pa.array(n)], ["cell", "n"])
+
+    table = np.zeros(STRATA * BINS * (RBINS + 1), np.int64)
+    got = docs.select(docs["text"].cast("string").alias("text")).mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    table[got.column("cell").to_numpy()] = got.column("n").to_numpy()
+    return cuts_of(table.reshape(STRATA, BINS, RBINS + 1))
+
 
-    table = np.zeros((STRATA, BINS), np.int64)
-    for r in docs.select(docs["text"].cast("string").alias("text")).mapInArrow(run, "s bigint, k bigint, n bigint").groupBy("s", "k").agg(F.sum("n").alias("n")).collect():
-        table[r["s"], r["k"]] = r["n"]
-    return benjamini_hochberg(table)
+def cuts_of(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """table: candidates by stratum, text level, and randomness level + 1, 0 where it wasn't looked at."""
+    text = benjamini_hochberg(table.sum(2), ALPHA)
+    unlike = np.stack([t[cut:, 1:].sum(0) for t, cut in zip(table, text)])
+    return text, benjamini_hochberg(unlike, REJECT)
 
 
-def benjamini_hochberg(table: np.ndarray) -> np.ndarray:
-    """table: tests by stratum and level."""
+def benjamini_hochberg(table: np.ndarray, alpha: float) -> np.ndarray:
+    """Of tests by stratum and level: the least level that is discovered in each stratum, the number of levels if none."""
     found = table[:, ::-1].cumsum(1)[:, ::-1]  # tests at this level or beyond
-    p = 10.0 ** (-np.arange(BINS) / 20)
-    passes = p * table.sum(1, keepdims=True) <= ALPHA * found
+    p = 10.0 ** (-np.arange(table.shape[1]) / 20)
+    passes = p * table.sum(1, keepdims=True) <= alpha * found
     passes &= found > 0
-    return np.where(passes.any(1), passes.argmax(1), BINS)
+    return np.where(passes.any(1), passes.argmax(1), table.shape[1])
 
 
 class Scanner:
     """What a worker needs to find secrets in a batch."""
 
-    def __init__(self, model: TextModel, cutoff: np.ndarray) -> None:
-        self.model, self.cutoff = model, cutoff
+    def __init__(self, model: TextModel, cutoff: np.ndarray, reject: np.ndarray) -> None:
+        self.model, self.cutoff, self.reject = model, cutoff, reject
 
     def find(self, texts: pa.Array) -> dict[str, np.ndarray]:
         """row, begin and end (bytes in the row), encoding, p_text and p_random of each secret, in order."""
         body, at = C.flat(texts)
         got = candidates(texts, self.model)
-        got.pop("words")
+        got.pop("numbers")
         unlike = (level(got["p_text"]) >= self.cutoff[stratum(got["length"])]) & (got["encoding"] < len(ENCODINGS))
         got = {k: v[unlike] for k, v in got.items()}
         got["p_random"] = randomness(body, got["begin"], got["end"], got["encoding"])
-        random = got["p_random"] >= REJECT
+        random = level(got["p_random"], RBINS - 1) < self.reject[stratum(got["length"])]
         got = {k: v[random] for k, v in got.items()}
         kept = apart(got["begin"], got["end"], got["gain"])
         got = {k: v[kept] for k, v in got.items()}
@@ -309,7 +323,7 @@ class Scanner:
 
 def scanner(docs: DataFrame) -> Scanner:
     model = text_model(docs)
-    return Scanner(model, cutoffs(docs, model))
+    return Scanner(model, *cutoffs(docs, model))
 
 
 def secrets(docs: DataFrame) -> DataFrame:
@@ -323,9 +337,13 @@ def secrets(docs: DataFrame) -> DataFrame:
                 got = find.find(part.column(1))
                 if not len(got["row"]):
                     continue
-                raw = [part.column(1)[int(r)].as_py().encode() for r in got["row"]]
-                chars = [(len(t[:s].decode()), t[s:e].decode()) for t, s, e in zip(raw, got["begin"], got["end"])]
-                yield pa.record_batch([part.column(0).take(pa.array(got["row"])), pa.array([s for s, _ in chars], pa.int64()), pa.array([s + len(t) for s, t in chars], pa.int64()), pa.array([t for _, t in chars]), pa.array(_NAMES[got["encoding"]], pa.string()), pa.array(got["p_text"]), pa.array(got["p_random"])], ["doc_id", "begin", "end", "secret", "encoding", "p_text", "p_random"])
+                body, at = C.flat(part.column(1))
+                inner = np.r_[0, np.cumsum(body & 0xC0 == 0x80)]  # bytes that begin no character
+                first = at[got["row"]]
+                begin, end = first + got["begin"], first + got["end"]
+                chars = got["begin"] - (inner[begin] - inner[first])
+                found = pa.array([body[s:e].tobytes().decode() for s, e in zip(begin.tolist(), end.tolist())], pa.string())
+                yield pa.record_batch([part.column(0).take(pa.array(got["row"])), pa.array(chars), pa.array(chars + end - begin), found, pa.array(_NAMES[got["encoding"]], pa.string()), pa.array(got["p_text"]), pa.array(got["p_random"])], ["doc_id", "begin", "end", "secret", "encoding", "p_text", "p_random"])
 
     return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id bigint, begin bigint, end bigint, secret string, encoding string, p_text double, p_random double")
 

@@ -129,12 +129,50 @@ def test_benjamini_hochberg_is_exact_on_levels():
     table = np.zeros((secret_scan.STRATA, secret_scan.BINS), np.int64)
     table[0, :40] = rng.integers(0, 50, 40)
     table[0, 300] = 7
-    cut = secret_scan.benjamini_hochberg(table)[0]
+    cut = secret_scan.benjamini_hochberg(table, secret_scan.ALPHA)[0]
     p = sorted(10 ** (-k / 20) for k in range(secret_scan.BINS) for _ in range(table[0, k]))
     largest = max((x for i, x in enumerate(p, 1) if x <= secret_scan.ALPHA * i / len(p)), default=None)
     assert largest is not None and table[0, cut:].sum() == sum(x <= largest for x in p) == 7
 
 
+def test_both_cuts_match_brute_force():
+    """The whole procedure on a table of candidates: discoveries against text, then rejections among them, each by sorting."""
+    rng = np.random.default_rng(5)
+    s, k, r = rng.integers(0, 2, 3000), np.minimum(rng.geometric(0.05, 3000), 80), rng.integers(0, 30, 3000)
+    k[:300] = rng.integers(150, 400, 300)
+    r[:60] = rng.integers(90, 199, 60)
+    table = np.zeros((secret_scan.STRATA, secret_scan.BINS, secret_scan.RBINS + 1), np.int64)
+    np.add.at(table, (s, k, r + 1), 1)
+    text, reject = secret_scan.cuts_of(table)
+
+    def discovered(p, alpha):
+        order = sorted(p)
+        best = max((x for i, x in enumerate(order, 1) if x <= alpha * i / len(order)), default=-1)
+        return [x <= best for x in p]
+
+    for stratum in (0, 1):
+        own = np.flatnonzero(s == stratum)
+        unlike = own[discovered([10 ** (-k[i] / 20) for i in own], secret_scan.ALPHA)]
+        thrown = set(unlike[discovered([10 ** (-r[i] / 20) for i in unlike], secret_scan.REJECT)].tolist())
+        assert 150 > len(thrown) > 10 and set(unlike.tolist()) == {i for i in own.tolist() if k[i] >= text[stratum]}
+        assert thrown == {i for i in unlike.tolist() if r[i] >= reject[stratum]}
+
+
+def test_secrets_of_letters_alone_and_many_in_one_text(spark):
+    r = random.Random(8)
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    keys = {k: "".join(r.choice(lower + upper if k % 2 else upper) for _ in range(40)) for k in range(0, 100, 5)}
+    rows = [(k, prose(300, k) + (f" é {keys[k]} end" if k in keys else " 1234567890123456789 thequickbrownfoxjumps"), "en", "a", 1) for k in range(100)]
+    many = ["".join(r.choice("0123456789abcdef") for _ in range(40)) for _ in range(60)]
+    rows.append((1000, "ü " + " ".join(many), "en", "a", 1))
+    got = secret_scan.secrets(spark.createDataFrame(rows, SCHEMA)).collect()
+    text = {row[0]: row[1] for row in rows}
+    assert all(text[x["doc_id"]][x["begin"] : x["end"]] == x["secret"] for x in got)
+    assert {x["doc_id"] for x in got} <= set(keys) | {1000}
+    assert sum(keys.get(x["doc_id"]) == x["secret"] for x in got) >= 18
+    assert len({x["secret"] for x in got if x["doc_id"] == 1000} & set(many)) >= 55
+
+
 # --- 3
 
 
@@ -167,6 +205,17 @@ def test_escaping_is_exact():
         assert not re.search(r"<\|(end|user)\|>", chat.escaped(t), re.I)
 
 
+def test_long_blanks_give_the_librarys_ids(monkeypatch):
+    enc, r = tokens.encoder(), random.Random(1)
+    texts = ["a" + " " * n + tail for n in (9_999, 10_000, 12_345) for tail in ("b", "", "\n", " \t!")]
+    assert all(tokens.ids_of(enc, t) == enc.encode_ordinary(t) for t in texts)
+    assert enc.decode(tokens.ids_of(enc, "x" + " \n" * 500_000 + "y")) == "x" + " \n" * 500_000 + "y"
+    monkeypatch.setattr(tokens, "_SPACE", re.compile(tokens._SPACE.pattern.replace("10000", "3")))
+    for _ in range(300):  # the same cuts on short runs
+        t = "pad " * 3000 + "".join(r.choice(["ab", " ", "\n", "\t", "  ", "\u00a0", "x1", "é", "'s", "   ", "!", "\x1c"]) for _ in range(r.randint(1, 14)))
+        assert tokens.ids_of(enc, t) == enc.encode_ordinary(t)
+
+
 # --- 4
 
 

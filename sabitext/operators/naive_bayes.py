@@ -9,6 +9,7 @@ there. Texts are never regrouped by id, so ids may repeat or be NULL.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -126,8 +127,8 @@ def _lists(table: pa.RecordBatch | pa.Table) -> list[list[str | None]]:
     return [table.column(c).to_pylist() for c in ("_text", "_low", "_norm")]
 
 
-def gram_counts(docs: DataFrame, text_col: str, nfc: bool = True, sizes: int = SIZES) -> DataFrame:
-    """(gram, n): how often each n-gram of 1 to sizes characters occurs in all texts."""
+def gram_counts(docs: DataFrame, text_col: str, nfc: bool = True, sizes: int = SIZES, raw: bool = False) -> DataFrame:
+    """(gram, n): how often each n-gram of 1 to sizes characters occurs in all texts, in L1 form or, if raw, as they stand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,7 +136,8 @@ def gram_counts(docs: DataFrame, text_col: str, nfc: bool = True, sizes: int = S
                 for _, number, names in ragged.char_grams(batch.column("_norm").slice(a, b - a).to_pylist(), sizes):
                     yield pa.record_batch([pa.array(names, pa.string()), pa.array(np.bincount(number, minlength=len(names)).astype(np.int64))], ["gram", "n"])
 
-    return prepared(docs, text_col, nfc).select("_norm").mapInArrow(run, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    texts = docs.select(docs[text_col].alias("_norm")) if raw else prepared(docs, text_col, nfc).select("_norm")
+    return texts.mapInArrow(run, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,6 +217,23 @@ class NaiveBayes:
         spark = self.table.sparkSession
         spark.createDataFrame([(self.labels, self.priors, self.defaults, self.nfc)], "labels array<string>, priors array<double>, defaults array<double>, nfc boolean").write.mode("overwrite").parquet(f"{path}/head")
 
+    def to_json(self) -> str:
+        """One JSON text with log_priors, log_likelihoods (by label and feature), vocab and default_log_likelihood. For models that fit on the driver."""
+        rows = self.table.collect()
+        ll = {x: {r["feature"]: self.defaults[k] + r[f"d{k}"] for r in rows} for k, x in enumerate(self.labels)}
+        return json.dumps({"log_priors": dict(zip(self.labels, self.priors)), "log_likelihoods": ll, "vocab": [r["feature"] for r in rows], "default_log_likelihood": dict(zip(self.labels, self.defaults))}, ensure_ascii=False)
+
+    @staticmethod
+    def from_json(spark: SparkSession, text: str, nfc: bool = True) -> NaiveBayes:
+        """Of to_json()'s layout; without defaults NO_DEFAULT."""
+        data = json.loads(text)
+        labels = list(data["log_priors"])
+        defaults = [data.get("default_log_likelihood", {}).get(x, NO_DEFAULT) for x in labels]
+        features = sorted({f for x in labels for f in data["log_likelihoods"][x]})
+        gains = [[data["log_likelihoods"][x].get(f, d) - d for f in features] for x, d in zip(labels, defaults)]
+        table = spark.createDataFrame(pa.table([pa.array(features, pa.string()), *map(pa.array, gains)], ["feature", *(f"d{k}" for k in range(len(labels)))]))
+        return NaiveBayes(labels, list(data["log_priors"].values()), defaults, table, nfc)
+
     @staticmethod
     def load(spark: SparkSession, path: str) -> NaiveBayes:
         """Models saved without defaults use NO_DEFAULT."""

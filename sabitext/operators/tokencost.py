@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import argparse
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .tokenizer import DEFAULT_PATH, Tokenizer
+
 LANGUAGES = {"eng": "English", "yor": "Yorùbá", "hau": "Hausa", "ibo": "Igbo", "pcm": "Nigerian Pidgin"}
 USD_PER_MILLION, NGN_PER_USD = 2.50, 1350.0
 
@@ -17,6 +21,20 @@ def load_entries(spark: SparkSession, path: str, quick: bool = False) -> DataFra
     return rows.orderBy("id").limit(10) if quick else rows
 
 
+def get_tokenizers(paths: dict[str, str]) -> dict[str, Callable[[Column], Column]]:
+    """B1: what cuts a text into tokens, by name, for each vocabulary file (JSON of the tokenizers library) that can be read; the others are skipped with a warning."""
+    out = {}
+    for name, path in paths.items():
+        try:
+            tokenizer = Tokenizer("naija", {"naija": path})
+            assert tokenizer.vocab_size
+        except Exception as e:  # the library's own kind of error
+            warnings.warn(f"{name}: {e}", stacklevel=2)
+            continue
+        out[name] = tokenizer.tokens
+    return out
+
+
 def run_benchmark(entries: DataFrame, tokenizers: dict[str, Callable[[Column], Column]], languages: dict[str, str] | None = None, baseline: str = "eng") -> DataFrame:
     """B1, B2: a row for each entry, language and tokenizer. A tokenizer turns a text into an array of tokens. Ratios to the baseline are rounded to 3 places, infinite where it has no tokens."""
     languages = languages or LANGUAGES
@@ -54,3 +72,25 @@ def save_results(results: DataFrame, stats: DataFrame, path: str) -> None:
     """Results as JSON, the summary as CSV."""
     results.write.mode("overwrite").json(f"{path}/results")
     stats.write.mode("overwrite").csv(f"{path}/summary", header=True)
+
+
+def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> DataFrame:
+    """Spark-submit sabitext/operators/tokencost.py --data FILE --output FOLDER [--quick] [--tokenizer NAME=PATH]...; the statistics, which are also saved."""
+    parser = argparse.ArgumentParser(description=main.__doc__)
+    parser.add_argument("--data", required=True)
+    parser.add_argument("--output", required=True)
+    parser.add_argument("--quick", action="store_true", help="the ten entries with the smallest ids")
+    parser.add_argument("--tokenizer", action="append", default=[], help="NAME=PATH of a vocabulary")
+    args = parser.parse_args(argv)
+    spark = spark or SparkSession.builder.getOrCreate()
+    paths = dict(x.split("=", 1) for x in args.tokenizer) or {"byte_bpe": DEFAULT_PATH}
+    entries = load_entries(spark, args.data, args.quick)
+    results = run_benchmark(entries, get_tokenizers(paths), {k: v for k, v in LANGUAGES.items() if k in entries.columns})
+    stats = aggregate_stats(results)
+    save_results(results, stats, args.output)
+    stats.show(truncate=False)
+    return stats
+
+
+if __name__ == "__main__":
+    main()

@@ -14,7 +14,7 @@ from ..functions import syllables as S
 from ..functions import text as T
 from ..functions.chars import WORD, WS
 from ..functions.normalize import normalize_unicode
-from ..operators import knn, metrics, naive_bayes, sentiment, tokencost, tokenizer, words
+from ..operators import knn, metrics, naive_bayes, sentiment, tokencost, tokenizer, training, words
 from ..shared import spread
 from ..sources import dims, registry
 
@@ -241,7 +241,9 @@ def pidgin_stopwords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- catalog and dimensions
 
-_REGISTRY = ", ".join(f"('{n}', '{registry.dataset_info(n)['task']}', {len(registry.dataset_info(n)['languages'])}, '{registry.get_hf_id(n)}')" for n in registry.list_datasets())
+_REGISTRY = """
+('afriqa', 'qa', 2, 'masakhane/afriqa'), ('masakhaner', 'ner', 3, 'masakhane/masakhaner2'), ('masakhanews', 'classification', 4, 'masakhane/masakhanews'), ('masakhapos', 'pos', 3, 'masakhane/masakhapos'),
+('menyo20k', 'translation', 2, 'masakhane/menyo20k_mt'), ('naijasenti', 'sentiment', 4, 'HausaNLP/NaijaSenti-Twitter'), ('nollysenti', 'sentiment', 5, 'HausaNLP/NollySenti')"""
 
 
 @query(f"SELECT name, task, CAST(langs AS INTEGER) AS langs, hf_id FROM (VALUES {_REGISTRY}) AS r(name, task, langs, hf_id)")
@@ -249,13 +251,13 @@ def dataset_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.registry(spark).select("name", "task", F.size("languages").alias("langs"), "hf_id")
 
 
-@query(f"SELECT 'states' AS dim, CAST({len(dims.STATES)} AS BIGINT) AS n UNION ALL SELECT 'lgas', {sum(map(len, dims.LGAS.values()))} UNION ALL SELECT 'banks', {len(dims.BANKS)} UNION ALL SELECT 'prefixes', {len(dims.TELCO_PREFIXES)} UNION ALL SELECT 'pidgin', {len(dims.PIDGIN) + len(dims.PIDGIN_EXPRESSIONS)}")
+@query("SELECT dim, CAST(n AS BIGINT) AS n FROM (VALUES ('states', 37), ('lgas', 73), ('banks', 29), ('prefixes', 33), ('MTN', 12), ('Airtel', 9), ('Glo', 7), ('9mobile', 5), ('pidgin', 70)) AS v(dim, n)")
 def dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for name, df in (("states", dims.states(spark)), ("lgas", dims.lgas(spark)), ("banks", dims.banks(spark)), ("prefixes", dims.telcos(spark)), ("pidgin", dims.pidgin(spark))):
         one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("dim"), "n")
         out = one if out is None else out.union(one)
-    return out
+    return out.union(dims.telcos(spark).groupBy("telco").agg(F.count("*").alias("n")))
 
 
 # --- language detection
@@ -323,7 +325,10 @@ def nb_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(spark, sf_dir).join(docs, F.col("doc_id") == F.col("id")).groupBy("lang", "label").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(_NB + f"""
+, top AS (SELECT doc_id, max(score) AS m FROM total GROUP BY doc_id), z AS (SELECT t.doc_id, sum(exp(t.score - m)) AS z FROM total t JOIN top USING (doc_id) GROUP BY t.doc_id)
+SELECT d.doc_id, CASE WHEN {_squeeze('d.text')} <> '' THEN b.label END AS lang, CASE WHEN {_squeeze('d.text')} <> '' THEN round(1 / z.z, 6) ELSE 0.0 END AS confidence FROM documents d LEFT JOIN best b ON b.doc_id = d.doc_id AND b.place = 1 LEFT JOIN z ON z.doc_id = d.doc_id
+""")
 def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = naive_bayes.fit(docs, "text", "lang", _LANGS).detect(docs, "doc_id", "text")
@@ -333,11 +338,13 @@ def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- syllables
 
 
-_KNN = rf"""
+def _knn(text: str = "text", letters: str = r"\p{L}''", syllable: str = S.YORUBA) -> str:
+    """Contexts counted over documents."""
+    return rf"""
 WITH words AS (
-  SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '(?s)[\p{{L}}'']+|.') AS t FROM documents)
+  SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS i FROM (SELECT doc_id, regexp_extract_all({text}, '(?s)[{letters}]+|.') AS t FROM documents)
 ), parts AS (
-  SELECT doc_id, i, is_word, unnest(s) AS s, generate_subscripts(s, 1) AS k FROM (SELECT doc_id, i, regexp_matches(token, '^[\p{{L}}'']') AS is_word, CASE WHEN regexp_matches(token, '^[\p{{L}}'']') THEN regexp_extract_all(token, '{S.YORUBA}') ELSE [token] END AS s FROM words WHERE regexp_matches(token, '[^{WS}]'))
+  SELECT doc_id, i, is_word, unnest(s) AS s, generate_subscripts(s, 1) AS k FROM (SELECT doc_id, i, regexp_matches(token, '^[{letters}]') AS is_word, CASE WHEN regexp_matches(token, '^[{letters}]') THEN regexp_extract_all(token, '{syllable}') ELSE [token] END AS s FROM words WHERE regexp_matches(token, '[^{WS}]'))
 ), placed AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) AS pos FROM (SELECT doc_id, i, k, is_word AND regexp_matches(s, '\p{{L}}') AS target, lower(strip_accents(s)) AS undiac, lower(s) AS form FROM parts)
 ), context AS (
@@ -346,6 +353,10 @@ WITH words AS (
 """
 
 
+_KNN = _knn()
+_CONTEXTS = "SELECT undiac, prev, nxt AS next, form, CAST(cnt AS BIGINT) AS cnt FROM counts"
+
+
 @query(_KNN + "SELECT undiac, prev, nxt AS next, form, CAST(cnt AS BIGINT) AS cnt FROM counts")
 def knn_train_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.count_contexts(documents(spark, sf_dir), "doc_id", "text").select("undiac", "prev", "next", "form", "cnt")
@@ -359,14 +370,48 @@ def _restored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bare.join(docs.select(F.col("doc_id").alias("d"), F.col("text").alias("expected")), F.col("doc_id") == F.col("d")).join(restored, F.col("doc_id") == F.col("id")).select("doc_id", "input", "predicted", "expected")
 
 
-@query()
+@query(_knn(letters=r"\p{L}''\-", syllable=S.IGBO) + _CONTEXTS)
+def igbo_train_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.count_contexts(documents(spark, sf_dir), "doc_id", "text", "ibo").select("undiac", "prev", "next", "form", "cnt")
+
+
+@query(_knn("translate(text, 'áàéèíìóòúùÁÀÉÈÍÌÓÒÚÙēūǹńḿ', 'aaeeiioouuAAEEIIOOUUeunnm')") + _CONTEXTS)
+def dot_below_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.count_contexts(documents(spark, sf_dir), "doc_id", "text", tones_only=True).select("undiac", "prev", "next", "form", "cnt")
+
+
+def _restored(letters: str, syllable: str) -> str:
+    """Every text stripped and restored by four tables of all texts: out(doc_id, restored)."""
+    return _knn(letters=letters, syllable=syllable) + rf"""
+, bothk AS (SELECT *, row_number() OVER (PARTITION BY undiac, prev, nxt ORDER BY cnt DESC, seen) AS place, min(seen) OVER (PARTITION BY undiac, prev, nxt) AS least FROM counts),
+both_ AS (SELECT undiac, prev, nxt, form, least FROM bothk WHERE place = 1),
+bef AS (SELECT undiac, prev, form FROM (SELECT *, row_number() OVER (PARTITION BY undiac, prev ORDER BY least) AS place FROM both_ WHERE prev <> '<START>') WHERE place = 1),
+aft AS (SELECT undiac, nxt, form FROM (SELECT *, row_number() OVER (PARTITION BY undiac, nxt ORDER BY least) AS place FROM both_ WHERE nxt <> '<END>') WHERE place = 1),
+tot AS (SELECT undiac, form, sum(cnt) AS cnt, min(seen) AS seen FROM counts GROUP BY undiac, form),
+alone AS (SELECT undiac, form FROM (SELECT *, row_number() OVER (PARTITION BY undiac ORDER BY cnt DESC, seen) AS place FROM tot) WHERE place = 1),
+bw AS (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS i FROM (SELECT doc_id, regexp_extract_all(strip_accents(text), '(?s)[{letters}]+|.') AS t FROM documents)),
+bp AS (SELECT doc_id, i, is_word, unnest(s) AS s, generate_subscripts(s, 1) AS k FROM (SELECT doc_id, i, regexp_matches(token, '^[{letters}]') AS is_word, CASE WHEN regexp_matches(token, '^[{letters}]') THEN regexp_extract_all(token, '{syllable}') ELSE [token] END AS s FROM bw)),
+bs AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) AS pos, lower(strip_accents(s)) AS u FROM bp),
+bx AS (SELECT doc_id, pos, u, coalesce(lag(u) OVER w, '<start>') AS p, coalesce(lead(u) OVER w, '<end>') AS n FROM bs WHERE is_word WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+fx AS (SELECT x.doc_id, x.pos, coalesce(a.form, b.form, c.form, d.form) AS form FROM bx x LEFT JOIN (SELECT * FROM both_ WHERE prev <> '<START>' AND nxt <> '<END>') a ON a.undiac = x.u AND a.prev = x.p AND a.nxt = x.n LEFT JOIN bef b ON b.undiac = x.u AND b.prev = x.p LEFT JOIN aft c ON c.undiac = x.u AND c.nxt = x.n LEFT JOIN alone d ON d.undiac = x.u),
+made AS (SELECT s.doc_id, string_agg(CASE WHEN f.form IS NULL THEN s.s WHEN regexp_matches(s.s, '^\p{{Lu}}') THEN upper(f.form[1]) || lower(substr(f.form, 2)) ELSE f.form END, '' ORDER BY s.pos) AS restored FROM bs s LEFT JOIN fx f ON f.doc_id = s.doc_id AND f.pos = s.pos GROUP BY s.doc_id),
+outs AS (SELECT d.doc_id, d.text, coalesce(m.restored, strip_accents(d.text)) AS restored FROM documents d LEFT JOIN made m USING (doc_id))
+"""
+
+
+_YOR_RESTORED = _restored(r"\p{L}''", S.YORUBA)
+
+
+@query(_YOR_RESTORED + "SELECT doc_id, md5(restored) AS restored, restored = text AS exact FROM outs")
 def knn_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _restored_pairs(spark, sf_dir).select("doc_id", F.md5("predicted").alias("restored"), (F.col("predicted") == F.col("expected")).alias("exact"))
 
 
-@query()
-def restore_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.evaluate(_restored_pairs(spark, sf_dir), "yoruba")
+@query(_restored(r"\p{L}''\-", S.IGBO) + "SELECT doc_id, md5(restored) AS restored FROM outs")
+def igbo_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    bare = docs.select("doc_id", T.strip_diacritics(F.col("text")).alias("bare"))
+    return knn.fit_igbo(docs, "doc_id", "text").diacritize(bare, "doc_id", "bare").select("doc_id", F.md5("restored").alias("restored"))
 
 
 _EVAL_PAIRS = "(SELECT doc_id, lower(text) AS e, lower(strip_accents(text)) AS p, text AS e0, strip_accents(text) AS p0 FROM documents)"
@@ -377,6 +422,25 @@ def _agree(a: str, b: str) -> str:
     return f"len(list_filter(list_zip({a}[:least(len({a}), len({b}))], {b}[:least(len({a}), len({b}))]), lambda z: z[1] = z[2]))"
 
 
+def _letters(t: str) -> str:
+    return f"list_filter(string_split({t}, ''), lambda c: c <> '')"
+
+
+def _marked(t: str) -> str:
+    return f"list_filter(list_zip(range(length({t})), {_letters(t)}), lambda z: contains('{_MARKS}', z[2]))"
+
+
+@query(_YOR_RESTORED + f"""
+, x AS (SELECT {_words('lower(text)')} AS we, {_words('lower(restored)')} AS wp, {_letters('lower(text)')} AS ce, {_letters('lower(restored)')} AS cp, lower(text) = lower(restored) AS same, {_marked('text')} AS de, {_marked('restored')} AS dp FROM outs),
+s AS (SELECT count(*) AS n, sum(CAST(same AS INTEGER)) AS cs, sum(least(len(we), len(wp))) AS tw, sum({_agree('we', 'wp')}) AS cw, sum(least(len(ce), len(cp))) AS tc, sum({_agree('ce', 'cp')}) AS cc, sum(len(list_intersect(de, dp))) AS tp, sum(len(de)) AS e, sum(len(dp)) AS p FROM x),
+r AS (SELECT *, CASE WHEN p > 0 THEN tp / p ELSE 0.0 END AS pr, CASE WHEN e > 0 THEN tp / e ELSE 0.0 END AS re FROM s)
+SELECT 'yoruba' AS language, CAST(n AS BIGINT) AS total_sentences, CAST(cs AS BIGINT) AS correct_sentences, CAST(tw AS BIGINT) AS total_words, CAST(cw AS BIGINT) AS correct_words, round(cw / tw, 6) AS word_accuracy, round(cs / n, 6) AS sentence_accuracy, round(cc / tc, 6) AS character_accuracy, round(pr, 6) AS diacritic_precision, round(re, 6) AS diacritic_recall, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0.0 END, 6) AS diacritic_f1 FROM r
+""")
+def restore_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = metrics.evaluate(_restored_pairs(spark, sf_dir), "yoruba")
+    return row.select(*[F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in row.dtypes])
+
+
 @query(f"""
 WITH x AS (SELECT {_words('e')} AS we, {_words('p')} AS wp, string_split(e, '') AS ce, string_split(p, '') AS cp, e = p AS same,
   list_filter(list_zip(range(length(e0)), string_split(e0, '')), lambda z: contains('{_MARKS}', z[2])) AS de, list_filter(list_zip(range(length(p0)), string_split(p0, '')), lambda z: contains('{_MARKS}', z[2])) AS dp FROM {_EVAL_PAIRS} WHERE length(e) > 0),
@@ -437,7 +501,13 @@ def viterbi_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.join(text, F.col("doc_id") == F.col("d")).select("doc_id", F.md5("restored").alias("restored"), (F.col("restored") == F.col("text")).alias("exact"))
 
 
-@query()
+@query(_WORDS + r"""
+, gt AS (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS i FROM (SELECT doc_id, regexp_extract_all(strip_accents(text), '(?s)[\p{L}'']+|.') AS t FROM documents)),
+gs AS (SELECT *, regexp_matches(token, '^[\p{L}'']') AS is_word, sum(CASE WHEN token IN ('.', '!', '?', ';') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS sent FROM gt),
+gw AS (SELECT doc_id, i, lower(token) AS w, lag(lower(token)) OVER (PARTITION BY doc_id, sent ORDER BY i) AS pw FROM gs WHERE is_word),
+gf AS (SELECT g.doc_id, g.i, coalesce(b.form, u.form) AS form FROM gw g LEFT JOIN pairs b ON b.prev = g.pw AND b.undiac = g.w LEFT JOIN map u ON u.undiac = g.w),
+gm AS (SELECT s.doc_id, string_agg(CASE WHEN form IS NULL THEN token WHEN regexp_matches(token, '^\p{Lu}') THEN upper(form[1]) || substr(form, 2) ELSE form END, '' ORDER BY s.i) AS restored FROM gs s LEFT JOIN gf f ON f.doc_id = s.doc_id AND f.i = s.i GROUP BY s.doc_id)
+SELECT d.doc_id, md5(coalesce(m.restored, strip_accents(d.text))) AS restored FROM documents d LEFT JOIN gm m USING (doc_id)""")
 def greedy_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     bare = documents(spark, sf_dir).select("doc_id", T.strip_diacritics(F.col("text")).alias("bare"))
     return _word_model(spark, sf_dir).greedy(bare, "doc_id", "bare").select("doc_id", F.md5("restored").alias("restored"))
@@ -533,8 +603,29 @@ def dedup_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("k").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
 
 
-@query()
+@query("SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || ':42'), doc_id) AS n FROM documents) WHERE n <= 5000")
 def capped_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At most 5000 texts of each language, by hash of the id."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(42)), "doc_id")
-    return documents(spark, sf_dir).select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where("n <= 5000").select("doc_id", "lang")
+    """At most 5000 texts of each language, as if drawn at random."""
+    return training.capped(documents(spark, sf_dir).select("doc_id", "lang"), "doc_id", "lang")
+
+
+_STRIPPED = f"regexp_replace(text, '^[{WS}]+|[{WS}]+$', '', 'g')"
+
+
+@query(f"""
+WITH s AS (SELECT doc_id AS ord, lang, text FROM documents UNION ALL SELECT 1000000000 + conv_id * 1000 + turn, 'conv', text FROM conversations WHERE length({_STRIPPED}) > {training.HEADLINE_CHARS}),
+k AS (SELECT ord, lang, row_number() OVER (PARTITION BY md5({_STRIPPED}) ORDER BY ord) AS p FROM s WHERE {_STRIPPED} <> ''),
+c AS (SELECT ord, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(ord || ':42'), ord) AS n FROM k WHERE p = 1)
+SELECT CAST(ord AS BIGINT) AS ord, lang FROM c WHERE n <= 100""")
+def training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of two tables, distinct, at most 100 of each language: the cap is the feature."""
+    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("ord"), "lang", "text")
+    turns = training.headlines(table(spark, sf_dir, "conversations"), "text").select((F.lit(1_000_000_000) + F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.lit("conv").alias("lang"), "text")
+    return training.language_texts([docs, turns], 100).select("ord", "lang")
+
+
+@query("""
+WITH c AS (SELECT DISTINCT unnest(string_split(text, '')) AS char FROM documents)
+SELECT char, CAST(row_number() OVER (ORDER BY char) + 3 AS INTEGER) AS id FROM c WHERE char <> '' UNION ALL SELECT * FROM (VALUES ('<PAD>', 0), ('<UNK>', 1), ('<SOS>', 2), ('<EOS>', 3)) AS v(char, id)""")
+def char_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training.char_vocabulary(documents(spark, sf_dir), "text")

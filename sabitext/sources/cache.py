@@ -36,6 +36,11 @@ def save_to_cache(rows: DataFrame, root: str, name: str, lang: str | None, split
     return path
 
 
+def export_json(rows: DataFrame, path: str) -> None:
+    """The rows as JSON lines, characters as they are."""
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
 def load_from_cache(spark: SparkSession, root: str, name: str, lang: str | None, split: str) -> DataFrame:
     """D14."""
     if not is_cached(spark, root, name, lang, split):

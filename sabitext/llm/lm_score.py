@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 ORDER, LEAST, BACKOFF = 3, 2, 0.4
-PACK_BYTES, BITS, SPREAD = 8 << 20, 56, 4
+PACK_BYTES, BITS, SPREAD, BUCKET_TOKENS = 8 << 20, 56, 4, 250_000
 _STEP = C.U64(0x9E3779B97F4A7C15)
 _SCHEMA = "slice bigint, ids binary, sizes binary, words binary, tokens binary, n_tokens bigint"
 _NO_ID = np.iinfo(np.int64).min
@@ -203,17 +203,19 @@ def scored(docs: DataFrame, order: int = ORDER, least: int = LEAST, backoff: flo
     slices = C.written(texts.mapInArrow(_pack, _SCHEMA), "slices")
     total = slices.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = SPREAD * tasks
+    # a bucket is held in memory as a whole: its size doesn't grow with the corpus
+    buckets = max(SPREAD * tasks, -(-total // BUCKET_TOKENS))
+    tasks = max(2 * tasks, buckets // SPREAD)
     asked = slices.select("slice", "sizes", "words", "tokens").mapInArrow(_asker(buckets, order), "bucket int, slice bigint, grams binary, counts binary")
-    answered = asked.repartition(2 * tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "slice bigint, bucket int, counts binary")
+    answered = asked.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "slice bigint, bucket int, counts binary")
     none = F.lit(None).cast("binary")
     both = slices.select("slice", F.lit(-1).alias("bucket"), "ids", "sizes", "words", "tokens", none.alias("counts")).union(answered.select("slice", "bucket", none, none, none, none, "counts"))
-    met = both.repartition(2 * tasks, "slice").sortWithinPartitions("slice", "bucket")
+    met = both.repartition(tasks, "slice").sortWithinPartitions("slice", "bucket")
     return met.mapInArrow(_scorer(total, order, least, backoff), "doc_id bigint, n_tokens bigint, log_score double, mean_log_score double")
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_tokens", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+    return scored(C.spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))).select("doc_id", "n_tokens", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"

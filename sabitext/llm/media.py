@@ -311,5 +311,5 @@ def audio_columns(media: DataFrame, id_col: str = "media_id", content_col: str =
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables hold no sound: every document's whole text is first set as the payload of an MPEG stream."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = C.spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return audio_columns(docs.select(F.col("doc_id").alias("media_id"), as_audio(docs["text"], docs["doc_id"], docs["source"]).alias("content")))

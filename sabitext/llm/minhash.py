@@ -195,4 +195,4 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(C.spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))

@@ -2,7 +2,8 @@
 
 1. Every text is tokenised once; the ids (with an end-of-text id) are written
    as a table in the shared folder, so that later steps never tokenise again.
-2. Packing. A source's stream is its documents in table order. Running sums
+2. Packing. A source's stream is its documents in table order, so that which ones share a block
+   follows from how the table is laid out and split. Running sums
    in the tasks and over the (task, source) sums give each document its place,
    and it is cut at block borders. The last block of a source is padded.
 3. For each output shard, source counts are drawn from a multinomial with the
@@ -35,6 +36,7 @@ from .tokens import TOKENIZER, encoder, free_id, ids_of
 
 BLOCK, SHARD_BLOCKS, TEMPERATURE, SEED = 2048, 256, 0.5, 42
 BROADCAST_ROWS = 200_000
+CHUNK = 16  # shards whose counts are summed together
 
 
 def permuted(i: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -102,17 +104,24 @@ def slots(spark: SparkSession, blocks: dict[str | None, int], share: dict[str |
     p = np.array([share[s] for s in names])
     count = [blocks[s] for s in names]
 
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counts(chunk: int) -> np.ndarray:
+        """Source counts of the shards of a chunk; drawn again wherever they are needed."""
+        return np.stack([drawn(s, p, per_shard, seed) for s in range(chunk * CHUNK, min((chunk + 1) * CHUNK, shards))])
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            n = np.stack([drawn(int(s), p, per_shard, seed) for s in ids]) if len(ids) else np.zeros((0, len(p)), np.int64)
-            base = n.cumsum(1) - n
-            yield pa.record_batch([pa.array(np.repeat(ids, len(p))), pa.array(np.tile(np.arange(len(p)), len(ids))), pa.array(n.ravel()), pa.array(base.ravel())], ["shard", "k", "count", "base"])
+            n = np.stack([counts(int(c)).sum(0) for c in ids]) if len(ids) else np.zeros((0, len(p)), np.int64)
+            yield pa.record_batch([pa.array(np.repeat(ids, len(p))), pa.array(np.tile(np.arange(len(p)), len(ids))), pa.array(n.ravel())], ["chunk", "k", "count"])
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                shard, k, n, base, start = (batch.slice(a, 1000).column(c).to_numpy() for c in ("shard", "k", "count", "base", "start"))
+            for c, begin in zip(batch.column("chunk").to_pylist(), batch.column("starts").to_pylist()):
+                by_shard = counts(c)
+                first = np.array([x["start"] for x in sorted(begin, key=lambda x: x["k"])])
+                start = (first + by_shard.cumsum(0) - by_shard).ravel()
+                base = (by_shard.cumsum(1) - by_shard).ravel()
+                shard, k, n = np.repeat(c * CHUNK + np.arange(len(by_shard)), len(p)), np.tile(np.arange(len(p)), len(by_shard)), by_shard.ravel()
                 i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 shard_, k_, at, q = np.repeat(shard, n), np.repeat(k, n), np.repeat(base, n) + i, np.repeat(start, n) + i
                 position, block, epoch = np.empty_like(at), np.empty_like(at), np.empty_like(at)
@@ -127,10 +136,13 @@ def slots(spark: SparkSession, blocks: dict[str | None, int], share: dict[str |
                         block[here] = permuted(q[here] % count[s], count[s], key_of(seed, names[s], int(e)))
                 yield pa.record_batch([pa.array(shard_), pa.array(position), pa.array([names[s] for s in k_], pa.string()), pa.array(block), pa.array(epoch)], ["shard", "position", "source", "block", "epoch"])
 
-    counts = spark.range(shards).mapInArrow(draw, "shard bigint, k bigint, count bigint, base bigint")
-    before = Window.partitionBy("k").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("start", F.coalesce(F.sum("count").over(before), F.lit(0)))
-    return starts.mapInArrow(expand, "shard bigint, position bigint, source string, block bigint, epoch bigint")
+    # running sums over the chunks of shards, then, in each chunk's task, over its shards
+    chunks = -(-shards // CHUNK)
+    before = Window.partitionBy("k").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sums = spark.range(chunks).mapInArrow(totals, "chunk bigint, k bigint, count bigint")
+    starts = sums.withColumn("start", F.coalesce(F.sum("count").over(before), F.lit(0))).groupBy("chunk").agg(F.collect_list(F.struct("k", "start")).alias("starts"))
+    tasks = min(chunks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return starts.repartition(tasks, "chunk").mapInArrow(expand, "shard bigint, position bigint, source string, block bigint, epoch bigint")
 
 
 def _assembler(kind: type, length: int, pad: int):  # noqa: ANN202

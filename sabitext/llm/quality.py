@@ -254,5 +254,5 @@ def scored(docs: DataFrame, model: AdditiveModel | None) -> DataFrame:
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = C.spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return scored(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))

@@ -364,4 +364,4 @@ def redacted(docs: DataFrame) -> DataFrame:
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return secrets(C.spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))

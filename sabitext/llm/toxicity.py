@@ -201,5 +201,5 @@ def accepted(docs: DataFrame, model: FactorizationMachine | None) -> DataFrame:
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = C.spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return scored(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))

@@ -14,9 +14,10 @@ Tags: ID3v2 (2.2 to 2.4, unsynchronised ones too), ID3v1, APE (skipped).
 Variable-bitrate tables: Xing, Info and VBRI; their frame holds no sound.
 Encoder delay and padding come from the table's encoder extension.
 
-Checksums: frames with CRC-16 in layers I and III are verified (in layer II the
-protected length depends on tables of allocations; those frames are counted as
-unverified), and the encoder extension's own CRC-16.
+Checksums: frames with CRC-16 are verified, and the encoder extension's own CRC-16.
+In layer II the protected bits are the allocations, whose widths depend on rate,
+bitrate and mode, and two bits for each subband that has any; frames of free
+format, where the bitrate that chooses the table isn't given, are counted as unverified.
 
 Durations are whole ticks of 1 / TICKS s, of which every MPEG sampling rate is a
 divisor, less delay and padding; nothing is rounded.
@@ -96,6 +97,39 @@ def crc_frames(body: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return crc
 
 
+#: Layer II: widths of the allocation fields by subband, for tables a to d of version 1 and that of versions 2 and 2.5.
+_ALLOCATED = tuple(np.repeat(*x) for x in (([4, 3, 2], [11, 12, 4]), ([4, 3, 2], [11, 12, 7]), ([4, 3], [2, 6]), ([4, 3], [2, 10]), ([4, 3, 2], [4, 7, 19])))
+
+
+def _allocation_table(version: int, rate: int, kbps: int) -> int:
+    """Which of _ALLOCATED a layer II frame uses, by its bitrate for each channel."""
+    if version != 3:
+        return 4
+    if kbps <= 48:
+        return 3 if _RATES[3][rate] == 32000 else 2
+    return 0 if _RATES[3][rate] == 48000 or kbps <= 80 else 1
+
+
+def crc_layer2(body: np.ndarray, at: np.ndarray, table: int, channels: int, bound: int) -> np.ndarray:
+    """CRC-16 of header bytes 2 and 3, allocations and scale factor selections, for frames at these places that share table, channels and bound; above bound both channels share an allocation. Bits are taken for all frames at once."""
+    width = _ALLOCATED[table]
+    fields = [(int(w), 1 if channels == 1 else 2, 1 if channels == 1 or sb >= bound else 2) for sb, w in enumerate(width)]
+    most = sum(w * own + 2 * both for w, both, own in fields)
+    bytes_ = body[np.minimum(at[:, None] + 6 + np.arange(-(-most // 8)), len(body) - 1)]
+    bits = np.concatenate([np.unpackbits(body[at[:, None] + [2, 3]], axis=1), np.unpackbits(bytes_, axis=1)], 1).astype(np.uint32)
+    p, selections = 16, np.zeros(len(at), np.int64)
+    for w, both, own in fields:
+        for _ in range(own):
+            selections += (bits[:, p : p + w].any(1)) * (both // own)
+            p += w
+    end = p + 2 * selections
+    crc = np.full(len(at), 0xFFFF, np.uint32)
+    for k in range(int(end.max())):
+        feedback = (crc >> np.uint32(15)) ^ bits[:, k]
+        crc = np.where(k < end, ((crc << np.uint32(1)) ^ (feedback * np.uint32(0x8005))) & np.uint32(0xFFFF), crc)
+    return crc
+
+
 def crc_lsb(data: bytes) -> int:
     crc = 0
     for b in data:
@@ -233,15 +267,16 @@ _NAMES = [f.split()[0] for f in FIELDS.split(", ")]
 def parsed(contents: pa.Array) -> list[dict]:
     """FIELDS of each file of a batch."""
     body, at = C.flat(contents)
-    code, follows = np.zeros(len(body), np.int64), np.full(len(body), -1, np.int64)
+    code, follows = np.zeros(len(body), np.int32), np.full(len(body), -1, np.int32)
     places = np.zeros(0, np.int64)
     if len(body) > 3:
         places = np.flatnonzero((body[:-3] == 0xFF) & (body[1:-2] >= 0xE0))
-        code[places] = body[places + 1].astype(np.int64) << 8 | body[places + 2]
+        code[places] = body[places + 1].astype(np.int32) << 8 | body[places + 2]
         places = places[_KIND[code[places]] >= 0]
         follows[places] = places + _LENGTH[code[places]]
     out = []
     protected: dict[int, list[tuple[int, np.ndarray]]] = {}
+    second: dict[tuple[int, int, int], list[tuple[int, np.ndarray]]] = {}
     for row in range(len(at) - 1):
         data = body[at[row] : at[row + 1]].tobytes()
         begin, end, version, texts = tags(data)
@@ -270,21 +305,32 @@ def parsed(contents: pa.Array) -> list[dict]:
             r |= {"vbr_table": table["kind"], "vbr_frames": table["frames"], "vbr_crc_ok": table["crc_ok"], "toc": table["toc"]}
         crc = places_[(body[places_ + 1] & 1) == 0]
         lay = (body[crc + 1] >> 1) & 3
-        r["crc_unverified"] = int((lay == 2).sum())
-        crc, lay = crc[lay != 2], lay[lay != 2]
+        free = (lay == 2) & (body[crc + 2] >> 4 == 0)
+        r["crc_unverified"] = int(free.sum())
+        crc, lay = crc[~free], lay[~free]
         r["crc_frames"] = len(crc)
+        heads = body[crc[lay == 2, None] + [1, 2, 3]] & [0x18, 0xFC, 0xF0] if (lay == 2).any() else np.zeros((0, 3), np.uint8)
+        for head in np.unique(heads, axis=0):
+            bits2, mode = int(head[0]) >> 3, int(head[2]) >> 6
+            channels2 = 1 if mode == 3 else 2
+            kbps = _KBPS[(3 if bits2 == 3 else 2, 2)][(int(head[1]) >> 4) - 1] // channels2
+            table2 = _allocation_table(bits2, int(head[1]) >> 2 & 3, kbps)
+            bound2 = 4 * ((int(head[2]) >> 4 & 3) + 1) if mode == 1 else 32
+            second.setdefault((table2, channels2, bound2), []).append((row, crc[lay == 2][(heads == head).all(1)]))
+        crc, lay = crc[lay != 2], lay[lay != 2]
         channel = body[crc + 3] >> 6
         bound = np.where(channel == 3, 0, np.where(channel == 1, 4 * ((body[crc + 3] >> 4 & 3).astype(np.int64) + 1), 32))
         v1 = (body[crc + 1] >> 3 & 3) == 3
         size = np.where(lay == 3, (32 + bound) // 2, np.where(v1, np.where(channel == 3, 17, 32), np.where(channel == 3, 9, 17)))
         for n in np.unique(size):
             protected.setdefault(int(n), []).append((row, crc[size == n]))
-    for n, groups in protected.items():
+    for n, groups in (protected | second).items():
         where = np.concatenate([g for _, g in groups])
         rows = np.repeat([r for r, _ in groups], [len(g) for _, g in groups])
-        fits = where + 6 + n <= at[rows + 1]
+        fits = where + 6 + (n if isinstance(n, int) else 0) <= at[rows + 1]
         bad = np.ones(len(where), bool)
-        bad[fits] = crc_frames(body, where[fits], n) != (body[where[fits] + 4].astype(np.uint32) << 8 | body[where[fits] + 5])
+        own = crc_frames(body, where[fits], n) if isinstance(n, int) else crc_layer2(body, where[fits], *n)
+        bad[fits] = own != (body[where[fits] + 4].astype(np.uint32) << 8 | body[where[fits] + 5])
         for row, k in zip(*np.unique(rows[bad], return_counts=True)):
             out[row]["crc_failed"] += int(k)
     return out

@@ -492,6 +492,57 @@ def test_audio_checksums_and_tags():
     assert got["n_samples"] == 1152 * len(sound) - 1576 and got["vbr_frames"] == len(sound)
 
 
+def layer2_frame(r: random.Random, bitrate: int, rate: int, mode: int, ext: int, version: int = 3) -> bytes:
+    """A layer II frame of random bits with its checksum, bit by bit from the standard's tables, which are written out again here."""
+    kbps = [0, 32, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384][bitrate] if version == 3 else [0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160][bitrate]
+    hz = [[44100, 48000, 32000], [22050, 24000, 16000]][version != 3][rate]
+    each = kbps if mode == 3 else kbps // 2
+    if version != 3:
+        nbal = "444433333332222222222222222222"
+    elif each in (32, 48):
+        nbal = "443333333333" if hz == 32000 else "44333333"
+    elif hz == 48000 or each <= 80:
+        nbal = "444444444443333333333332222"
+    else:
+        nbal = "444444444443333333333332222222"
+    size = 144 * kbps * 1000 // hz
+    head = [0xFF, 0xE0 | version << 3 | 2 << 1 | 0, bitrate << 4 | rate << 2, mode << 6 | ext << 4]
+    body = [r.randrange(256) if r.random() < 0.7 else 0 for _ in range(size - 6)]
+    bits = [b >> k & 1 for x in (head[2:], body) for b in x for k in range(7, -1, -1)]
+    p, chosen = 16, 0
+    bound = 4 * (ext + 1) if mode == 1 else 32
+    for sb, w in enumerate(map(int, nbal)):
+        for _ in range(1 if mode == 3 or sb >= bound else 2):
+            chosen += any(bits[p : p + w]) * (2 if mode != 3 and sb >= bound else 1)
+            p += w
+    crc = 0xFFFF
+    for bit in bits[: p + 2 * chosen]:
+        top = crc >> 15 ^ bit
+        crc = (crc << 1 & 0xFFFF) ^ (0x8005 if top else 0)
+    return bytes([*head, crc >> 8, crc & 255, *body])
+
+
+def test_layer_two_checksums():
+    r = random.Random(6)
+    kinds = [(3, 14, 0, 0, 0), (3, 10, 0, 1, 1), (3, 2, 1, 3, 0), (3, 1, 2, 3, 0), (3, 8, 1, 1, 3), (3, 8, 2, 0, 0), (3, 12, 2, 1, 0), (2, 8, 0, 1, 2), (2, 4, 2, 3, 0)]
+    files, broken = [], []
+    for version, bitrate, rate, mode, ext in kinds:
+        frames = [layer2_frame(r, bitrate, rate, mode, ext, version) for _ in range(6)]
+        files.append(b"".join(frames))
+        bad = bytearray(files[-1])
+        bad[len(frames[0]) + 7] ^= 0x10
+        broken.append(bytes(bad))
+    for got, worse in zip(media.parsed(pa.array(files)), media.parsed(pa.array(broken))):
+        assert (got["layer"], got["n_frames"], got["crc_frames"], got["crc_failed"], got["crc_unverified"]) == (2, 6, 6, 0, 0)
+        assert worse["crc_failed"] == 1
+
+
+def test_a_very_long_file_is_parsed_whole():
+    sound = mpeg_synth.frames(bytes(R.randrange(256) for _ in range(3_000_000)), [0x90], True)
+    (got,) = media.parsed(pa.array([b"junk" * 5000 + b"".join(sound)]))
+    assert got["n_frames"] == len(sound) and got["skipped_bytes"] == 20_000 and got["crc_failed"] == 0
+
+
 def test_audio_of_awkward_documents(spark):
     docs = awkward(spark)
     got = media.audio_columns(docs.select(F.col("doc_id").alias("media_id"), mpeg_synth.as_audio(docs["text"], docs["doc_id"], docs["source"]).alias("content"))).collect()

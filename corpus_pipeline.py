@@ -1,6 +1,8 @@
 """The corpus pipeline: toxicity, near duplicates, benchmark passages, secrets, mixing.
 
 Each stage works on all that its predecessor kept, which run() writes as Parquet and reads again.
+An empty table of documents gives an empty result in every stage; NULLs in any column, empty and
+very long texts, repeated rows and extra columns pass as each operator's module says.
 """
 
 from __future__ import annotations
@@ -8,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sabitext.llm import common, decontam, minhash, mixing, secret_scan, toxicity
+from sabitext.shared import mark, released
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +51,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents. What a stage wrote on its way goes when its result is written."""
+    since = mark(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = common.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        released(spark, since, but=1)
     return docs

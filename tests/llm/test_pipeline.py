@@ -33,6 +33,44 @@ def test_stages(spark):
     assert mixed.count() and {x for r in mixed.select("doc_ids").collect() for x in r["doc_ids"]} <= ids["secrets"]
 
 
+def awkward(spark):
+    long = " ".join(f"word{k % 977} of{k % 31}" for k in range(30_000))
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (None, "some text without an id", None, None, None), (3, long, "en", "a", len(long)), (4, "ok", "en", None, 2), (4, "ok", "en", None, 2), (5, "\0 \n ***", "en", "b", 7), (6, "é" * 50, "fr", "b", 50)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    return docs.withColumns({c: common_lit(c) for c in ("id", "sig", "toxic", "label_id", "gone_id", "item_id", "part", "block")})
+
+
+def common_lit(c):
+    from pyspark.sql import functions as F
+
+    return F.lit(c)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_each_stage_on_awkward_and_empty_tables(spark, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    docs = awkward(spark)
+    got = stage(spark, docs, SF)
+    rows = got.collect()
+    assert stage(spark, docs.limit(0), SF).collect() == []
+    if name == "mixing":
+        assert {d for r in rows for d in r["doc_ids"]} >= {None, 3} and sum(r["n_tokens"] for r in rows) > 30_000
+        return
+    assert got.columns == docs.columns
+    ids = sorted((str(r["doc_id"]), r["text"]) for r in rows if r["text"] != "ok" and r["text"] is not None)
+    assert ids == sorted((str(r["doc_id"]), r["text"]) for r in docs.collect() if r["text"] != "ok" and r["text"] is not None)
+    assert sum(r["text"] == "ok" for r in rows) == (1 if name == "near_duplicates" else 2)
+    assert sum(r["text"] is None for r in rows) == 1
+
+
+def test_run_leaves_only_its_result(spark):
+    from sabitext import shared
+
+    since = shared.mark(spark)
+    got = corpus_pipeline.run(spark, SF)
+    assert got.count() > 0 and shared.mark(spark) == since + 1
+
+
 def test_registered():
     import __spark_entry__ as entry
 

@@ -9,15 +9,30 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import ragged
+
 FORMS = ("NFC", "NFD", "NFKC", "NFKD")
 
 
+def changed(texts: pa.Array, change: Callable[[str], str]) -> pa.Array:
+    """A function of every text, some of them at a time; NULL stays NULL. Texts that it gives back as they are aren't copied."""
+    out, same = [], True
+    for a, b in ragged.batches_of(texts):
+        part = texts.slice(a, b - a)
+        old = part.to_pylist()
+        new = [None if t is None else change(t) for t in old]
+        if any(x is not y for x, y in zip(old, new)):
+            part, same = pa.array(new, pa.string()), False
+        out.append(part)
+    return texts if same else pa.concat_arrays(out)
+
+
 def arrow_text(change: Callable[[str], str], text: Column) -> Column:
-    """Applies a function to every text of a batch; NULL stays NULL."""
+    """Applies a function to every text of a batch."""
 
     @F.arrow_udf("string")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else change(t) for t in texts.to_pylist()], pa.string())
+        return changed(texts, change)
 
     return run(text)
 

@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import functools
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
+#: Rows of counts that a worker holds to add them up.
+HELD_ROWS = 1 << 20
 
 
 @functools.cache
@@ -32,7 +34,7 @@ def blanks() -> np.ndarray:
     return np.fromiter((chr(c).isspace() for c in range(0x110000)), bool, 0x110000)
 
 
-def batches_of(texts: pa.Array, most: int = BATCH_BYTES) -> list[tuple[int, int]]:
+def batches_of(texts: pa.Array | pa.ChunkedArray, most: int = BATCH_BYTES) -> list[tuple[int, int]]:
     """Row ranges of about so many bytes, or of one row."""
     before = np.r_[0, np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))]
     cuts = [0]
@@ -120,8 +122,32 @@ def char_grams(texts: Iterable[str | None], sizes: int) -> list[tuple[np.ndarray
         m = max(len(one) - n + 1, 0)
         if n > 1:
             rank = ranked(rank[:m] << 31 | one[n - 1 :])[0]
-        inside = row[:m] == row[n - 1 :]
-        place = np.flatnonzero(inside)
-        number, first = ranked(rank[inside])
-        out.append((row[:m][inside], number, [whole[i : i + n] for i in place[first].tolist()]))
+        place = np.flatnonzero(row[:m] == row[n - 1 :])
+        number = rank[place]
+        first = np.full(int(rank.max()) + 1 if len(rank) else 0, -1)
+        first[number[::-1]] = place[::-1]
+        there = first >= 0  # others run from one text into the next
+        out.append((row[place], (np.cumsum(there) - 1)[number], [whole[i : i + n] for i in first[there].tolist()]))
     return out
+
+
+def summed(batches: Iterable[pa.RecordBatch], keys: list[str], sums: list[str], most: int = HELD_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches of counts with those of equal keys added up, `most` rows at a time; keys can be met again in a later batch."""
+
+    def added() -> pa.Table:
+        got = pa.Table.from_batches(held).group_by(keys, use_threads=False).aggregate([(c, "sum") for c in sums])
+        return got.select([*keys, *(f"{c}_sum" for c in sums)]).rename_columns([*keys, *sums])
+
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= most:
+            got = added()
+            held, size = got.to_batches(), got.num_rows
+            if size > most // 2:
+                yield from held
+                held, size = [], 0
+    if held:
+        yield from added().to_batches()

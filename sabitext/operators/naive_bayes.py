@@ -1,10 +1,10 @@
 """Language detection: naive Bayes on character n-grams, script features and Pidgin markers.
 
 A fitted model is a table with one row for each feature and a column for each
-label. Texts are cut in the worker, some MB at a time: training hands on each
-slice's distinct features with counts by label; for scores a slice's distinct
-features are joined to the model, whatever its size, and meet the slice's texts
-there. Texts are never regrouped by id, so ids may repeat or be NULL.
+label. Texts are cut in the worker, PIECE_BYTES at a time, which bounds its
+memory: training hands on distinct features with counts by label; for scores a
+slice's distinct features are joined to the model, whatever its size, and meet
+the slice's texts there. Texts are never regrouped by id, so ids may repeat or be NULL.
 """
 
 from __future__ import annotations
@@ -28,6 +28,10 @@ from ..shared import in_slices, written
 
 LANGUAGES = ("yor", "hau", "ibo", "pcm", "eng")
 SIZES, LEAST, ALPHA, NO_DEFAULT = 4, 2, 1.0, -15.0
+#: Text that is cut into n-grams at once; a byte of it takes some 400 of memory.
+PIECE_BYTES = 1 << 19
+#: Labels whose counts stand side by side.
+MOST_AT_ONCE = 16
 #: Feature, characters, weight of each.
 SCRIPTS = (("__FEAT_YOR_DOTBELOW__", "ẹọṣẸỌṢ", 5), ("__FEAT_YOR_TONE__", "áàéèíìóòúùÁÀÉÈÍÌÓÒÚÙ", 3), ("__FEAT_IBO_DOTBELOW__", "ịụỊỤ", 5), ("__FEAT_HAU_HOOK__", "ɓɗƙƁƊƘ", 5))
 PCM_WORDS = tuple("abeg abi anyhow boda bros chop comot dem dey dodo ehen ehn gist jare jeje joor kain kasala madam na naim oga omo oya palava pikin sabi sef sha shaa shey sista suya una vex wahala waka wetin wey yarn".split())
@@ -89,54 +93,77 @@ def features(text: Column) -> Column:
 
 
 def prepared(docs: DataFrame, text_col: str, nfc: bool, *columns: Column) -> DataFrame:
-    """The columns, then _text (in NFC), _low (in lower case) and _norm (L1) of each row."""
-    rows = docs.select(*columns, (normalize_unicode(docs[text_col]) if nfc else docs[text_col]).alias("_text"))
-    return rows.withColumn("_low", F.lower("_text")).withColumn("_norm", squeeze(F.col("_low")))
+    """The columns, then _low (NFC, in lower case) of each row. The scripts' letters are the same letters in lower case, so L1 and L3 to L5 need no more."""
+    return docs.select(*columns, F.lower(normalize_unicode(docs[text_col]) if nfc else docs[text_col]).alias("_low"))
+
+
+def squeezed(lows: list[str | None]) -> list[str | None]:
+    """L1 of texts in lower case."""
+    return [t if t is None else " ".join(t.split()) for t in lows]
 
 
 class Features:
-    """L6 of a batch: for each occurrence of a feature its text, its number and its weight; names by number."""
+    """L6 of a batch of texts in lower case: n-grams, each with its text and number, for each length; (text, number, weight) of the other features; names by number."""
 
-    def __init__(self, texts: list[str | None], lows: list[str | None], norms: list[str | None]) -> None:
-        rows, numbers, self.names = [], [], []
+    def __init__(self, lows: list[str | None]) -> None:
+        self.grams, self.names = [], []
+        norms = squeezed(lows)
+        self.blank = np.array([t == "" for t in norms], bool)
         for row, number, names in ragged.char_grams(norms, SIZES):
-            rows.append(row)
-            numbers.append(number + len(self.names))
+            self.grams.append((row, number + len(self.names)))
             self.names += names
-        _, codes, at = ragged.joined(texts)
-        of = np.repeat(np.arange(len(texts)), np.diff(at))
-        weights = [np.bincount(of[np.isin(codes, [*map(ord, chars)])], minlength=len(texts)) * weight for _, chars, weight in SCRIPTS]
-        known = [{w.strip(".,!?;:'\"()-") for w in (t or "").split()} for t in lows]
-        weights.append(np.array([5 * sum(w in ws for w in PCM_WORDS) for ws in known], np.int64))
+        _, codes, at = ragged.joined(lows)
+        beyond = np.flatnonzero(codes > 0x7F)  # no script has an ASCII letter
+        codes, of = codes[beyond], ragged.row_of(at, beyond)
+        weights = [np.bincount(of[np.isin(codes, [*map(ord, chars)])], minlength=len(lows)) * weight for _, chars, weight in SCRIPTS]
+        known = [{w.strip(".,!?;:'\"()-") for w in set((t or "").split())} for t in norms]
+        weights.append(np.array([5 * len(_PCM & ws) for ws in known], np.int64))
         weights.append(np.array([5 * sum(p in (t or "") for p in PCM_PHRASES) for t in lows], np.int64))
         self.pidgin = (weights[-1] + weights[-2]) > 0
-        times = [np.ones(len(r), np.int64) for r in rows]
-        for name, w in zip([*(n for n, _, _ in SCRIPTS), "__FEAT_PCM_VOCAB__", "__FEAT_PCM_BIGRAM__"], weights):
-            rows.append(np.flatnonzero(w))
-            numbers.append(np.full(len(rows[-1]), len(self.names)))
-            times.append(w[rows[-1]])
-            self.names.append(name)
-        self.row, self.number, self.times = map(np.concatenate, (rows, numbers, times))
+        rows = [np.flatnonzero(w) for w in weights]
+        self.others = np.concatenate(rows), np.repeat(np.arange(len(rows)) + len(self.names), [len(r) for r in rows]), np.concatenate([w[r] for w, r in zip(weights, rows)])
+        self.names += OTHERS
+
+    def tallied(self, group: np.ndarray, groups: int) -> np.ndarray:
+        """The weight of each feature in each group of texts, as one array by group, then number."""
+        n, (row, number, weight) = len(self.names), self.others
+        total = np.bincount(group[row] * n + number, weight, groups * n).astype(np.int64)
+        for row, number in self.grams:
+            total += np.bincount(group[row] * n + number, minlength=groups * n)
+        return total
 
-    def present(self) -> list[str]:
-        """Names of the features that occur."""
-        return [self.names[k] for k in np.flatnonzero(np.bincount(self.number, minlength=len(self.names)))]
+    def weighed(self, gain: np.ndarray) -> np.ndarray:
+        """The sum of gain, by number, over each text's features."""
+        out = np.zeros(len(self.blank))
+        for row, number in self.grams:
+            out += np.bincount(row, gain[number], len(out))
+        row, number, weight = self.others
+        return out + np.bincount(row, weight * gain[number], len(out))
 
 
-def _lists(table: pa.RecordBatch | pa.Table) -> list[list[str | None]]:
-    return [table.column(c).to_pylist() for c in ("_text", "_low", "_norm")]
+OTHERS = [*(name for name, _, _ in SCRIPTS), "__FEAT_PCM_VOCAB__", "__FEAT_PCM_BIGRAM__"]
+_PCM = frozenset(PCM_WORDS)
+
+
+def _pieces(lows: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, list[str | None]]]:
+    """Begin, end and texts of each piece."""
+    for a, b in ragged.batches_of(lows, PIECE_BYTES):
+        yield a, b, lows.slice(a, b - a).to_pylist()
 
 
 def gram_counts(docs: DataFrame, text_col: str, nfc: bool = True, sizes: int = SIZES, raw: bool = False) -> DataFrame:
     """(gram, n): how often each n-gram of 1 to sizes characters occurs in all texts, in L1 form or, if raw, as they stand."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in ragged.batches_of(batch.column("_norm")):
-                for _, number, names in ragged.char_grams(batch.column("_norm").slice(a, b - a).to_pylist(), sizes):
+            for _, _, texts in _pieces(batch.column(0)):
+                for _, number, names in ragged.char_grams(texts if raw else squeezed(texts), sizes):
                     yield pa.record_batch([pa.array(names, pa.string()), pa.array(np.bincount(number, minlength=len(names)).astype(np.int64))], ["gram", "n"])
 
-    texts = docs.select(docs[text_col].alias("_norm")) if raw else prepared(docs, text_col, nfc).select("_norm")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return ragged.summed(counted(batches), ["gram"], ["n"])
+
+    texts = docs.select(docs[text_col].alias("_low")) if raw else prepared(docs, text_col, nfc)
     return texts.mapInArrow(run, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
@@ -145,9 +172,10 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = batch.column("_slice").to_numpy()
         cuts = np.flatnonzero(np.r_[True, number[1:] != number[:-1], True]) if len(number) else [0]
         for a, b in zip(cuts, cuts[1:]):
-            got = Features(*_lists(batch.slice(a, b - a)))
-            names = got.present()
-            yield pa.record_batch([pa.array([int(number[a])] * len(names), pa.int64()), pa.array(names, pa.string())], ["_slice", "feature"])
+            every = [pa.array(OTHERS, pa.string())]
+            every += [pa.array(names, pa.string()) for _, _, lows in _pieces(batch.column("_low").slice(a, b - a)) for _, _, names in ragged.char_grams(squeezed(lows), SIZES)]
+            names = pc.unique(pa.chunked_array(every))
+            yield pa.record_batch([pa.array(np.full(len(names), number[a])), names], ["_slice", "feature"])
 
 
 @dataclass
@@ -162,23 +190,28 @@ class NaiveBayes:
 
     def _scored(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """(id, scores, _mark) of every row."""
-        texts = in_slices(prepared(docs, text_col, self.nfc, docs[id_col].alias("_id")), "_text", "nb-slices")
+        texts = in_slices(prepared(docs, text_col, self.nfc, docs[id_col].alias("_id")), "_low", "nb-slices")
         met = texts.mapInArrow(_asked, "_slice bigint, feature string").join(self.table, "feature")
         priors, defaults = np.array(self.priors), np.array(self.defaults)
         kind = texts.schema["_id"].dataType
         schema = texts.select("_id").schema.add("scores", ArrayType(DoubleType())).add("_mark", StringType())
 
         def score(texts: pa.Table, model: pa.Table) -> pa.Table:
-            n, k = texts.num_rows, len(priors)
-            got = Features(*_lists(texts))
-            at = pc.index_in(pa.array(got.names, pa.string()), model.column("feature").combine_chunks()).fill_null(-1).to_numpy()
-            sums = np.bincount(got.row, got.times, n)[:, None] * defaults + priors
-            for i in range(k):
-                gain = np.append(model.column(f"d{i}").to_numpy(), 0.0)[at]
-                sums[:, i] += np.bincount(got.row, got.times * gain[got.number], n)
-            null = texts.column("_text").is_null().to_numpy()
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), pa.array(sums.ravel()), mask=pa.array(null))
-            mark = np.where(null, None, np.where(pc.equal(texts.column("_norm"), "").fill_null(False).to_numpy(zero_copy_only=False), "blank", np.where(got.pidgin, "pidgin", "none")))
+            k = len(priors)
+            known = model.column("feature").combine_chunks()
+            gains = [np.append(model.column(f"d{i}").to_numpy(), 0.0) for i in range(k)]
+            scores, marks = [], []
+            for _, _, lows in _pieces(texts.column("_low")):
+                got = Features(lows)
+                at = pc.index_in(pa.array(got.names, pa.string()), known).fill_null(-1).to_numpy()
+                sums = got.weighed(np.ones(len(at)))[:, None] * defaults + priors
+                for i in range(k):
+                    sums[:, i] += got.weighed(gains[i][at])
+                scores.append(sums.ravel())
+                marks.append(np.where(got.blank, "blank", np.where(got.pidgin, "pidgin", "none")))
+            n, null = texts.num_rows, texts.column("_low").is_null().to_numpy()
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), pa.array(np.concatenate([np.zeros(0), *scores])), mask=pa.array(null))
+            mark = np.where(null, None, np.concatenate([np.zeros(0, "U7"), *marks]))
             return pa.table([texts.column("_id"), lists, pa.array(mark, pa.string())], ["_id", "scores", "_mark"])
 
         found = texts.groupBy("_slice").cogroup(met.groupBy("_slice")).applyInArrow(score, schema)
@@ -245,16 +278,22 @@ def fit(docs: DataFrame, text_col: str, label_col: str, labels: list[str] | None
     """L7. Denominators count all features, also those pruned for being seen fewer than LEAST times; labels default to sorted order."""
     known = prepared(docs.where(docs[text_col].isNotNull() & docs[label_col].isNotNull()), text_col, nfc, docs[label_col].cast("string").alias("label"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in ragged.batches_of(batch.column("_norm")):
-                part = batch.slice(a, b - a)
-                got = Features(*_lists(part))
-                label, names = ragged.numbered(part.column("label").to_pylist(), b - a)
-                first, n, _ = ragged.tallied(label[got.row] * np.int64(len(got.names)) + got.number, got.times)
-                yield pa.record_batch([pa.array([names[k] for k in label[got.row[first]]], pa.string()), pa.array([got.names[k] for k in got.number[first]], pa.string()), pa.array(n)], ["label", "feature", "n"])
+            for a, b, lows in _pieces(batch.column("_low")):
+                got = Features(lows)
+                label, names = ragged.numbered(batch.column("label").slice(a, b - a).to_pylist(), b - a)
+                for some in range(0, len(names), MOST_AT_ONCE):  # so many labels' counts side by side
+                    of = np.flatnonzero((label >= some) & (label < some + MOST_AT_ONCE))
+                    part = got if len(names) <= MOST_AT_ONCE else Features([lows[k] for k in of])
+                    n = part.tallied(label[of] - some, min(MOST_AT_ONCE, len(names) - some))
+                    there = np.flatnonzero(n)
+                    yield pa.record_batch([pa.array(names[some : some + MOST_AT_ONCE], pa.string()).take(pa.array(there // len(part.names))), pa.array(part.names, pa.string()).take(pa.array(there % len(part.names))), pa.array(n[there])], ["label", "feature", "n"])
                 yield pa.record_batch([pa.array(names, pa.string()), pa.nulls(len(names), pa.string()), pa.array(np.bincount(label))], ["label", "feature", "n"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return ragged.summed(counted(batches), ["label", "feature"], ["n"])
+
     every = written(known.mapInArrow(run, "label string, feature string, n bigint").groupBy("label", "feature").agg(F.sum("n").alias("n")), "nb-counts")
     seen = {r["label"]: r["n"] for r in every.where("feature is null").collect()}  # texts of each label
     counts = every.where("feature is not null")

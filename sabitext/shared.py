@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import LongType, StructType
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 SPREAD_BYTES = 4 << 20
 _WRITTEN: dict[str, list[str]] = {}
 

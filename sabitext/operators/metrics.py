@@ -1,13 +1,16 @@
-"""Evaluation of restored diacritics: per-row counts by array functions, then one aggregate."""
+"""Evaluation of restored diacritics: counts of each batch of pairs in the worker, or of each row by array functions, then one aggregate."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import ragged
 from ..functions.text import strip_diacritics, strip_yoruba_diacritics, words_of
 
 #: V1. The Yoruba set takes the two combining tones in.
@@ -40,6 +43,33 @@ def diacritic_counts(predicted: Column, expected: Column, language: str) -> tupl
     return F.size(F.array_intersect(p, e)), F.size(F.array_except(p, e)), F.size(F.array_except(e, p))
 
 
+def _aligned(at: np.ndarray, begin: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of lists end to end, where each begins in two columns: the elements at places that both lists have."""
+    n = np.minimum(np.diff(begin), np.diff(other))[at]
+    return ragged.gathered(begin[:-1][at], n, np.arange(len(at))), ragged.gathered(other[:-1][at], n, np.arange(len(at)))
+
+
+def pair_counts(p: list[str], e: list[str], lp: list[str], le: list[str], language: str) -> dict[str, int]:
+    """V2 and V3 of pairs, as they stand and in lower case: the same sums as diacritic_counts(), same_places() and words_of() give."""
+    every = np.arange(len(p))
+    (wp, cp, ap), (we, ce, ae) = ragged.joined(lp), ragged.joined(le)
+    i, j = _aligned(every, ap, ae)
+    out = {"n": len(p), "s": sum(a == b for a, b in zip(lp, le)), "c": len(i), "rc": int((cp[i] == ce[j]).sum())}
+    sides = []
+    for whole, codes, at in ((wp, cp, ap), (we, ce, ae)):
+        begin, end = ragged.runs(~ragged.blanks()[codes] if len(codes) else np.zeros(0, bool), at)
+        sides.append((ragged.cut(whole, codes, begin, end), np.searchsorted(ragged.row_of(at, begin), np.arange(len(p) + 1))))
+    number, _ = ragged.coded(pa.concat_arrays([sides[0][0], sides[1][0]]))
+    i, j = _aligned(every, sides[0][1], sides[1][1])
+    out |= {"w": len(i), "rw": int((number[i] == number[j + len(sides[0][0])]).sum())}
+    (_, cp, ap), (_, ce, ae) = ragged.joined(p), ragged.joined(e)
+    marks = [*map(ord, MARKED[language])]
+    mp, me = np.isin(cp, marks), np.isin(ce, marks)
+    i, j = _aligned(every, ap, ae)
+    tp = int((mp[i] & (cp[i] == ce[j])).sum())
+    return out | {"tp": tp, "fp": int(mp.sum()) - tp, "fn": int(me.sum()) - tp}
+
+
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(0.0)
 
@@ -54,11 +84,17 @@ def evaluate(pairs: DataFrame, language: str, predicted: str = "predicted", expe
         raise ValueError(f"unknown language {language!r}")
     p, e = F.col(predicted), F.col(expected)
     lp, le = F.lower(p), F.lower(e)
-    words, right_words = same_places(words_of(lp), words_of(le))
-    letters, right_letters = same_places(chars(lp), chars(le))
-    tp, fp, fn = diacritic_counts(p, e, language)
-    rows = pairs.where(p.isNotNull() & e.isNotNull()).select(words.alias("w"), right_words.alias("rw"), letters.alias("c"), right_letters.alias("rc"), (lp == le).cast("int").alias("s"), tp.alias("tp"), fp.alias("fp"), fn.alias("fn"))
-    total = rows.agg(F.count("*").alias("total_sentences"), *[F.coalesce(F.sum(a), F.lit(0)).alias(b) for a, b in (("s", "correct_sentences"), ("w", "total_words"), ("rw", "correct_words"), ("c", "total_chars"), ("rc", "correct_chars"), ("tp", "tp"), ("fp", "fp"), ("fn", "fn"))])
+    rows = pairs.where(p.isNotNull() & e.isNotNull()).select(p.alias("p"), e.alias("e"), lp.alias("lp"), le.alias("le"))
+    names = ("n", "w", "rw", "c", "rc", "s", "tp", "fp", "fn")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in ragged.batches_of(batch.column("e"), ragged.BATCH_BYTES // 2):
+                got = pair_counts(*(batch.column(c).slice(a, b - a).to_pylist() for c in ("p", "e", "lp", "le")), language)
+                yield pa.record_batch([pa.array([got[c]], pa.int64()) for c in names], [*names])
+
+    rows = rows.mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
+    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_sentences"), *[F.coalesce(F.sum(a), F.lit(0)).alias(b) for a, b in (("s", "correct_sentences"), ("w", "total_words"), ("rw", "correct_words"), ("c", "total_chars"), ("rc", "correct_chars"), ("tp", "tp"), ("fp", "fp"), ("fn", "fn"))])
     precision, recall = _ratio(F.col("tp"), F.col("tp") + F.col("fp")), _ratio(F.col("tp"), F.col("tp") + F.col("fn"))
     return total.select(
         F.lit(language).alias("language"),

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import functools
 import os
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import ragged
+
 #: Alias: language.
 LANGUAGES = {alias: name for name, aliases in {"yoruba": "yoruba yor yo", "igbo": "igbo ibo ig", "hausa": "hausa hau ha", "pidgin": "pidgin pcm naija-pidgin", "naija": "naija unified all"}.items() for alias in aliases.split()}
 DEFAULT_PATH = "/opt/tokenizers/byte_bpe_50k.json"
+PIECE_BYTES = 1 << 19
 
 
 def get_supported_languages() -> list[str]:
@@ -29,6 +33,16 @@ def _loaded(path: str):  # noqa: ANN202
     return t
 
 
+def _encoded(path: str, texts: pa.Array, of: Callable, kind: pa.DataType) -> pa.Array:
+    """of() each text's encoding; NULL of NULL."""
+    out = []
+    for a, b in ragged.batches_of(texts, PIECE_BYTES):
+        part = texts.slice(a, b - a).to_pylist()
+        got = _loaded(path).encode_batch([t or "" for t in part], add_special_tokens=False)
+        out.append(pa.array([None if t is None else of(e) for t, e in zip(part, got)], kind))
+    return pa.concat_arrays(out) if out else pa.array([], kind)
+
+
 class Tokenizer:
     """K1 to K8. A vocabulary for a language: paths maps languages to files in the JSON format of the tokenizers library."""
 
@@ -47,13 +61,12 @@ class Tokenizer:
         return _loaded(self.path).get_vocab_size()
 
     def encode(self, text: Column) -> Column:
-        """K3, K6: array of ids. One call encodes a whole Arrow batch."""
+        """K3, K6: array of ids. One call encodes PIECE_BYTES of an Arrow batch: what the library keeps of a text is many times its size."""
         path = self.path
 
         @F.arrow_udf("array<int>")
         def run(texts: pa.Array) -> pa.Array:
-            got = _loaded(path).encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)
-            return pa.array([e.ids if v else None for v, e in zip(texts.is_valid().to_pylist(), got)], pa.list_(pa.int32()))
+            return _encoded(path, texts, lambda e: e.ids, pa.list_(pa.int32()))
 
         return run(text)
 
@@ -63,8 +76,7 @@ class Tokenizer:
 
         @F.arrow_udf("array<string>")
         def run(texts: pa.Array) -> pa.Array:
-            got = _loaded(path).encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)
-            return pa.array([e.tokens if v else None for v, e in zip(texts.is_valid().to_pylist(), got)], pa.list_(pa.string()))
+            return _encoded(path, texts, lambda e: e.tokens, pa.list_(pa.string()))
 
         return run(text)
 
@@ -86,8 +98,7 @@ class Tokenizer:
 
         @F.arrow_udf("int")
         def run(texts: pa.Array) -> pa.Array:
-            got = _loaded(path).encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)
-            return pa.array([len(e.ids) if v else None for v, e in zip(texts.is_valid().to_pylist(), got)], pa.int32())
+            return _encoded(path, texts, len, pa.int32())
 
         return run(text)
 

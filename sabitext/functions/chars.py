@@ -7,6 +7,8 @@ import unicodedata
 
 #: White space of str.split() and str.strip(), for use inside brackets.
 WS = r"\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: The same, each as it is.
+BLANKS = "".join(chr(c) for c in range(0x10000) if chr(c).isspace())
 #: A word character: letter, number or underscore, but no combining mark.
 WORD = r"\p{L}\p{N}_"
 TONES = "̀́̄"

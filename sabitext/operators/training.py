@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.chars import WS
+from ..functions.chars import BLANKS, WS
 from ..sources.cache import model_path
 from ..sources.seeds import seed_texts
 from . import knn, metrics, naive_bayes, sentiment, words
@@ -16,8 +16,8 @@ MOST_PER_LANGUAGE, HEADLINE_CHARS, SENTENCE_CHARS, PIDGIN_MARKS = 5000, 20, (30,
 
 
 def stripped(text: Column) -> Column:
-    """str.strip()."""
-    return F.regexp_replace(text, f"^[{WS}]+|[{WS}]+$", "")
+    """str.strip(). No regular expression, which would try its end at each blank of the text."""
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def headlines(rows: DataFrame, text_col: str) -> DataFrame:
@@ -34,8 +34,12 @@ def sentences(rows: DataFrame, text_col: str) -> DataFrame:
 
 def pidgin(rows: DataFrame, text_col: str) -> DataFrame:
     """Texts with PIDGIN_MARKS Pidgin words or phrases at least."""
+    return rows.where(_is_pidgin(text_col))
+
+
+def _is_pidgin(text_col: str) -> Column:
     marks = F.aggregate(F.filter(naive_bayes.script_features(F.col(text_col)), lambda x: x.f.startswith("__FEAT_PCM")), F.lit(0), lambda s, x: s + x.w)
-    return rows.where(marks >= 5 * PIDGIN_MARKS)
+    return marks >= 5 * PIDGIN_MARKS
 
 
 def order_of(id_: Column, seed: int = 42) -> Column:
@@ -67,7 +71,7 @@ def language_texts(sources: list[DataFrame], most: int = MOST_PER_LANGUAGE) -> D
     rows = sources[0].select("ord", "lang", "text")
     for s in sources[1:]:
         rows = rows.unionByName(s.select("ord", "lang", "text"))
-    rows = pidgin(rows.where("lang = 'pcm'"), "text").unionByName(rows.where("lang <> 'pcm'"))
+    rows = rows.where((F.col("lang") != "pcm") | ((F.col("lang") == "pcm") & _is_pidgin("text")))
     return capped(distinct_texts(rows, "ord", "text"), "ord", "lang", most)
 
 

@@ -15,7 +15,7 @@ from ..functions import text as T
 from ..functions.chars import WORD, WS
 from ..functions.normalize import normalize_unicode
 from ..operators import knn, metrics, naive_bayes, sentiment, tokencost, tokenizer, training, words
-from ..shared import spread
+from ..shared import dealt, spread
 from ..sources import dims, registry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -578,7 +578,8 @@ q AS (SELECT *, CASE WHEN base > 0 THEN round(n / base, 3) ELSE CAST('inf' AS DO
 
 
 def _token_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "p_brand AS category", "p_name AS eng", "concat(upper(p_type), ' ', p_name) AS yor", "p_type AS hau")
+    # an entry becomes nine rows with their tokens, which sorts and windows keep in memory
+    entries = dealt(table(spark, sf_dir, "part"), 1 << 20).selectExpr("p_partkey AS id", "p_brand AS category", "p_name AS eng", "concat(upper(p_type), ' ', p_name) AS yor", "p_type AS hau")
     kinds = {"char": metrics.chars, "word": lambda t: F.regexp_extract_all(t, F.lit(f"[{S.WORD_YOR}]+"), 0), "syllable": S.syllabify_yoruba}
     return tokencost.run_benchmark(entries, kinds, {"eng": "English", "yor": "Yorùbá", "hau": "Hausa"})
 
@@ -599,7 +600,7 @@ def top_worst_tokenized(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT min(doc_id) AS doc_id FROM (SELECT doc_id, regexp_replace(text, '^[{WS}]+|[{WS}]+$', '', 'g') AS t FROM documents) GROUP BY md5(t)")
 def dedup_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first of texts that are equal but for white space at their ends."""
-    rows = documents(spark, sf_dir).select("doc_id", F.md5(F.regexp_replace("text", f"^[{WS}]+|[{WS}]+$", "")).alias("k"))
+    rows = documents(spark, sf_dir).select("doc_id", F.md5(training.stripped(F.col("text"))).alias("k"))
     return rows.groupBy("k").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
 
 

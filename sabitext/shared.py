@@ -63,6 +63,12 @@ def _at_exit(spark: SparkSession) -> None:
         released(spark)
 
 
+def dealt(df: DataFrame, size: int) -> DataFrame:
+    """df, dealt out to so many tasks that each gets about `size` bytes of its files, and to all cores: for small rows that become many, where a file that is one task's would fill its memory."""
+    found = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-found // size)))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df, dealt out to all cores if its files are so small (SPREAD_BYTES for each core) that a few row groups, which can't be split, would leave most cores idle. Large inputs have enough of them and stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -65,26 +65,43 @@ def _terms(texts: list[str | None], least_chars: int) -> tuple[np.ndarray, np.nd
     return row[first], number[first], times, terms
 
 
+def _distinct_terms(texts: pa.Array, least_chars: int) -> pa.Array:
+    """Of a slice's texts, which are cut some at a time."""
+    parts = [pa.array(_terms(texts.slice(a, b - a).to_pylist(), least_chars)[3], pa.string()) for a, b in ragged.batches_of(texts)]
+    return pc.unique(pa.chunked_array(parts, pa.string()))
+
+
 def _asked(least_chars: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             number = batch.column("_slice").to_numpy()
             cuts = np.flatnonzero(np.r_[True, number[1:] != number[:-1], True]) if len(number) else [0]
             for a, b in zip(cuts, cuts[1:]):
-                terms = _terms(batch.column("_low").slice(a, b - a).to_pylist(), least_chars)[3]
-                yield pa.record_batch([pa.array([int(number[a])] * len(terms), pa.int64()), pa.array(terms, pa.string())], ["_slice", "term"])
+                terms = _distinct_terms(batch.column("_low").slice(a, b - a), least_chars)
+                yield pa.record_batch([pa.array(np.full(len(terms), number[a])), terms], ["_slice", "term"])
 
     return run
 
 
 def _weighed(texts: pa.Table, vocab: pa.Table, least_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """E2 of a slice: row, row of vocab and weight of each term that vocab knows: (1 + ln tf) * idf, each text's weights of length 1."""
-    row, number, times, terms = _terms(texts.column("_low").to_pylist(), least_chars)
-    known = pc.index_in(pa.array(terms, pa.string()), vocab.column("term").combine_chunks()).fill_null(-1).to_numpy() if terms else np.zeros(0, np.int64)
+    terms, idf = vocab.column("term").combine_chunks(), vocab.column("idf").to_numpy()
+    rows, ats, weights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for a, b in ragged.batches_of(texts.column("_low")):
+        row, at, weight = _weighed_piece(texts.column("_low").slice(a, b - a).to_pylist(), terms, idf, least_chars)
+        rows.append(row + a)
+        ats.append(at)
+        weights.append(weight)
+    return np.concatenate(rows), np.concatenate(ats), np.concatenate(weights)
+
+
+def _weighed_piece(texts: list[str | None], vocab: pa.Array, idf: np.ndarray, least_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    row, number, times, terms = _terms(texts, least_chars)
+    known = pc.index_in(pa.array(terms, pa.string()), vocab).fill_null(-1).to_numpy() if terms else np.zeros(0, np.int64)
     at = known[number] if len(number) else number
     row, at, times = row[at >= 0], at[at >= 0].astype(np.int64), times[at >= 0]
-    weight = (1 + np.log(times)) * vocab.column("idf").to_numpy()[at] if len(at) else np.zeros(0)
-    norm = np.sqrt(np.bincount(row, weight * weight, texts.num_rows))
+    weight = (1 + np.log(times)) * idf[at] if len(at) else np.zeros(0)
+    norm = np.sqrt(np.bincount(row, weight * weight, len(texts)))
     return row, at, weight / norm[row]
 
 
@@ -118,6 +135,7 @@ class SentimentModel:
     def analyze(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """(id, label, confidence, one column for each label) of every row, rounded to 4 places. Blank texts are neutral by rule, NULL ones NULL; the first of equal labels wins."""
         k, bias = len(self.labels), np.array(self.intercepts, float)
+        vocab = written(self.vocab, "sentiment-terms")  # its size is known then: a small one meets the slices' terms without a shuffle of those
         texts = _in_slices(docs, text_col, self.nfc, docs[id_col].alias("_id"))
 
         def score(texts: pa.Table, vocab: pa.Table) -> pa.Table:
@@ -128,7 +146,7 @@ class SentimentModel:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(lows) + 1, dtype=np.int32) * k), pa.array(z.ravel()))
             return pa.table([texts.column("_id"), pa.array(state, pa.string()), lists], ["_id", "_state", "z"])
 
-        met = texts.mapInArrow(_asked(1), "_slice bigint, term string").join(self.vocab.select("term", "idf", *[f"w{i}" for i in range(k)]), "term")
+        met = texts.mapInArrow(_asked(1), "_slice bigint, term string").join(vocab.select("term", "idf", *[f"w{i}" for i in range(k)]), "term")
         schema = texts.select("_id").schema.add("_state", StringType()).add("z", ArrayType(DoubleType()))
         x = texts.groupBy("_slice").cogroup(met.groupBy("_slice")).applyInArrow(score, schema)
         top = F.array_max("z")

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 from sabitext.functions import normalize, ragged
-from sabitext.operators import naive_bayes
+from sabitext.operators import knn, naive_bayes, sentiment
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzọẹṣáìgb"
 
@@ -54,3 +54,21 @@ def test_summed(most):
             total[r["k"], r["l"]] = total.get((r["k"], r["l"]), 0) + r["n"]
     assert total == {("a", "x"): 4, (None, "y"): 8, ("b", None): 12}
     assert list(ragged.summed([], ["k"], ["n"])) == []
+
+
+def test_contexts_by_pieces():
+    texts = pa.array(prose(1.3))
+    assert len(ragged.batches_of(texts)) > 1
+    got = [r for b in knn._distinct_contexts(texts, "yor") for r in zip(*(c.to_pylist() for c in b.columns))]
+    assert len(got) == len(set(got)) and set(got) == set(knn._contexts(texts.to_pylist(), "yor")[2])
+
+
+def test_terms_by_pieces():
+    texts = pa.array([*prose(1.3), None, ""])
+    got = sentiment._distinct_terms(texts, 1).to_pylist()
+    assert sorted(got) == sorted(sentiment._terms(texts.to_pylist(), 1)[3])
+    vocab = pa.table([pa.array(got[::7]), pa.array([1.5] * len(got[::7]))], ["term", "idf"])
+    row, at, weight = sentiment._weighed(pa.table([texts], ["_low"]), vocab, 1)
+    whole = sentiment._weighed_piece(texts.to_pylist(), pa.array(got[::7]), vocab.column("idf").to_numpy(), 1)
+    key = lambda r, a, w: sorted(zip(r.tolist(), a.tolist(), w.round(9).tolist()))
+    assert key(row, at, weight) == key(*whole)
